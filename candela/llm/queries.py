@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe
+from candela.llm import bpe, mixing, topk, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,8 +23,34 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+#: The rules that pages are judged by.
+URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every vector whose id is divisible by 20."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and how many of its words the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_url_filter": op8_url_filter,
+    "op9_top_k": op9_top_k,
+    "op10_mix": op10_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": urls.oracle(URL_RULES),
+    "op9_top_k": topk.ORACLE,
+    "op10_mix": mixing.ORACLE,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, mixing, topk, urls
+from candela.llm import bpe, mixing, secret_scan, topk, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts of the base kinds, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x["order"] < len(secret_scan.BASE))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.as_text(base).cast("binary"), 256).alias("base_sha256"), secret_scan.as_text(F.col("found")).alias("spans"))
+
+
 #: The rules that pages are judged by.
 URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
 
@@ -44,12 +52,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
     "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_secret_scan": secret_scan.ORACLE,
     "op8_url_filter": urls.oracle(URL_RULES),
     "op9_top_k": topk.ORACLE,
     "op10_mix": mixing.ORACLE,

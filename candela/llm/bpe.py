@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candela.llm.common import appended
+
 #: Bounds of the lazily filled tables, in entries.
 STATES, PAIRS, PATHS, LONGEST_PATH = 1 << 16, 1 << 19, 1 << 19, 48
 
@@ -297,20 +299,6 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
-def appended(df: DataFrame, make, name: str, kind: T.DataType, arrow: pa.DataType) -> DataFrame:
-    """df with a column that make(batches of the others) gives, without any shuffle."""
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"{name} is a column already")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(make(part), arrow)], names=[*part.schema.names, name])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
-
-
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds each text's token ids, packed as little-endian unsigned 32-bit integers (ids_array unpacks them)."""
     file = df.sparkSession.sparkContext.broadcast(ranks)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only when it was written and counted first and is no larger than this.
 BROADCAST_BYTES = 8 << 20
@@ -51,3 +54,17 @@ def fresh(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def appended(df: DataFrame, make: Callable[[pa.RecordBatch], list], name: str, kind: T.DataType, arrow: pa.DataType) -> DataFrame:
+    """df with a column that make() gives for each batch of the others, without any shuffle."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"{name} is a column already")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(make(part), arrow)], names=[*part.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, fingerprints, mixing, secret_scan, topk, urls
+from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, topk, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate group."""
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -57,6 +63,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_simhash": op2_simhash,
     "op5_fingerprint": op5_fingerprint,
     "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,

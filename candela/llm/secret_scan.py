@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import ascii_lower, fresh, small, written
+from candela.llm.common import fresh, small, written
 
 #: An exact set of strings or a disjunction with more members than this is given up (the query only gets weaker).
 WIDEST = 64
@@ -112,9 +112,9 @@ def trigram_query(regex: str) -> Query:
 
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str, text: str) -> DataFrame:
     """(trigram, id): which texts contain which of the trigrams, letters A-Z in either case."""
-    low = ascii_lower(F.col(text))
-    present = F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in trigrams)))
-    return docs.select(F.col(doc_id).alias("id"), F.explode(present).alias("trigram"))
+    low = docs.select(F.col(doc_id).alias("id"), F.lower(text).alias("low"))  # once for each text; more than A-Z only adds candidates
+    present = low.select("id", F.array_compact(F.array(*(F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams))).alias("present"))
+    return present.select("id", F.explode("present").alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: list[Rule], doc_id: str, text: str) -> DataFrame:

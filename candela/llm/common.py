@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candela.storage import shared_dir, written
+
+__all__ = ["appended", "ascii_lower", "fresh", "n_words", "shared_dir", "small", "table", "written"]
+
 #: A side is broadcast only when it was written and counted first and is no larger than this.
 BROADCAST_BYTES = 8 << 20
 
@@ -31,18 +34,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the session's checkpoint folder, which all executors share.
-
-    The folder is the one named in spark.checkpoint.dir; only where that is
-    unset (tests, a notebook) a temporary one is chosen.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candela-"))
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df (written already) marked for broadcast if its rows fit BROADCAST_BYTES; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import n_words, written
+from candela.llm.common import fresh, n_words, written
 
 #: Rows in a slice of the shuffled order, on average over all sources.
 SLICE_ROWS = 256
@@ -98,6 +98,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     )
 
 
+def resampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs as mixed: each row as often as the mix takes it, those that it doesn't take left out."""
+    id_, source_, size, times = (fresh(docs, x) for x in ("its_id", "its_source", "its_size", "times"))
+    taken = mix(docs, doc_id, text, source).filter("taken > 0").groupBy("doc_id", "source", "size").agg((F.max("taken") / F.col("size")).cast("int").alias(times))
+    taken = taken.withColumnsRenamed({"doc_id": id_, "source": source_, "size": size})
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (n_words(F.col(text)) == F.col(size))
+    mixed = docs.join(taken, same).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return mixed.select(*docs.columns)
+
+
 ORACLE = f"""
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,

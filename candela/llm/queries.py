@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, topk, toxicity, urls
+from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, suffix_dedup, token_counts, topk, toxicity, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,11 +37,30 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 400 bytes that occur again anywhere, as counts and a digest."""
+    left = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and how alike they and the next document's are."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: What op6 does to every text, one after the other: a new heading, other words in the middle, the end cut off.
+def sample_edits(n: Column) -> Column:
+    edit = lambda start, stop, text: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.lit(text).alias("text"))
+    return F.array(edit(F.lit(0), F.lit(0), "Revised: "), edit(n / 2, n / 2 + 24, " an edited passage,\n"), edit(n - 8, n + 40, "."))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, before and after three edits, and how many pre-tokens these made it encode again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", sample_edits(F.coalesce(F.length("text"), F.lit(0))))
+    counted = token_counts.count(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN, "edits")
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "recounted")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts of the base kinds, and all spans."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -73,7 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_fingerprint": op5_fingerprint,
+    "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,

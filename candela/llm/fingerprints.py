@@ -56,9 +56,9 @@ def compared(members: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, doc_id, text): key is never null and orders null ids last."""
+    """(key, text): key is never null and orders null ids last."""
     key = F.struct(F.col(doc_id).isNull().alias("absent"), F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("id"))
-    return docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -77,11 +77,16 @@ def successors(keys: DataFrame) -> DataFrame:
 
 
 def edited(rows: DataFrame, follow: DataFrame) -> DataFrame:
-    """rows (key, ..., text) with edited: the last quarter of the text gives way to the start of the next key's text."""
-    first = Window.partitionBy("key").orderBy("text")
-    heads = rows.select("key", "text").withColumn("place", F.row_number().over(first)).filter("place = 1")
+    """rows (key, text) with edited: the last quarter of the text gives way to the start of the next key's text.
+
+    Texts are dealt by key once: both joins read the same exchange, so both
+    sides take the same columns and filter only after it.
+    """
+    earlier = F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("text"))
     starts = (
-        heads.join(follow.select(F.col("next").alias("key"), F.col("key").alias("before"), "quarter"), "key")
+        rows.withColumn("earlier", earlier)
+        .filter("earlier is null")
+        .join(follow.select(F.col("next").alias("key"), F.col("key").alias("before"), "quarter"), "key")
         .select(F.col("before").alias("key"), F.substring("text", F.lit(1), F.col("quarter")).alias("start"))
     )
     n = F.length("text")
@@ -96,7 +101,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     both = edited(rows, follow).withColumn("form", canonical(F.col("text"))).withColumn("edited_form", canonical(F.col("edited")))
     hashed = written(
         both.select(
-            "key", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            "key", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             wide_hash(F.col("form")).alias("hash"), wide_hash(F.col("edited_form")).alias("edited_hash"),
         )
     )
@@ -113,17 +118,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if numbers.isEmpty():
         named = hashed.withColumnsRenamed({"hash": "fingerprint", "edited_hash": "edited_fingerprint"})
     else:
-        forms = edited(rows, follow).select("key", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), F.length("text").cast("long").alias("n_chars"), "doc_id")
+        forms = edited(rows, follow).select("key", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"), F.length("text").cast("long").alias("n_chars"))
         forms = forms.withColumn("hash", wide_hash(F.col("form"))).withColumn("edited_hash", wide_hash(F.col("edited_form")))
         name = lambda number, hash_: F.when(F.col(number).isNull(), F.col(hash_)).otherwise(F.concat_ws("-", hash_, number))
         a = numbers.select(F.col("hash"), F.col("text").alias("form"), F.col("number").alias("n1"))
         b = numbers.select(F.col("hash").alias("edited_hash"), F.col("text").alias("edited_form"), F.col("number").alias("n2"))
-        named = forms.join(a, ["hash", "form"], "left").join(b, ["edited_hash", "edited_form"], "left").select("key", "doc_id", "n_chars", "edited_sha256", name("n1", "hash").alias("fingerprint"), name("n2", "edited_hash").alias("edited_fingerprint"))
+        named = forms.join(a, ["hash", "form"], "left").join(b, ["edited_hash", "edited_form"], "left").select("key", "n_chars", "edited_sha256", name("n1", "hash").alias("fingerprint"), name("n2", "edited_hash").alias("edited_fingerprint"))
 
     place = Window.partitionBy("key").orderBy("fingerprint")
     heads = named.withColumn("place", F.row_number().over(place)).filter("place = 1").select(F.col("key").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     following = follow.select("key", "next").join(heads, "next").select("key", "next_fingerprint")
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")  # noqa: E731  an exact digest knows only equal and unequal
     return named.join(following, "key").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
+        F.when(~F.col("key.absent"), F.col("key.id")).cast(dict(docs.dtypes)[doc_id]).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
     )

@@ -40,7 +40,7 @@ def trend_labels(bars: DataFrame) -> DataFrame:
     fit = recent.withColumn("slope", F.regr_slope("y", "x").over(group)).withColumn("intercept", F.regr_intercept("y", "x").over(group))
     left = fit.withColumn("resid", F.col("y") - (F.col("slope") * F.col("x") + F.col("intercept")))
     found = left.groupBy(*GROUP).agg(F.first("sound").alias("sound"), F.first("slope").alias("slope"), F.stddev_samp("resid").alias("std"), F.count("*").alias("n"))
-    t = F.col("slope") / (F.col("std") / F.sqrt("n"))
+    t = F.try_divide(F.col("slope"), F.col("std") / F.sqrt("n"))
     usable = F.coalesce(F.col("sound") & (F.col("std") > 0), F.lit(False))
     trend = F.when(usable & (t > limit), "HAUSSIER").when(usable & (t < -limit), "BAISSIER").otherwise("NEUTRE")
     return found.select(*GROUP, F.when(F.col("sound"), F.col("slope")).alias("slope"), trend.alias("trend"))

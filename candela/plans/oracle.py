@@ -112,9 +112,9 @@ STAGES = {
     "trend_rows": f"""
   select *, close / first_value(close) over (partition by symbol, tf order by bar_idx) as y from (
     select *, {case('tf', {k: v[0] for k, v in TF_TREND.items()}, 20)} as look, bar_idx - (n_bars - {case('tf', {k: v[0] for k, v in TF_TREND.items()}, 20)}) as x from bars)
-  where x >= 0 and n_bars >= look""",
+  where x >= 0""",
     "trends": f"""
-  select symbol, tf, any_value(slope) as slope, case
+  select symbol, tf, any_value(case when n_bars >= look then slope end) as slope, case when any_value(n_bars) < any_value(look) then 'NEUTRE'
       when stddev_samp(y - (slope * x + intercept)) > 0 and any_value(slope) / (stddev_samp(y - (slope * x + intercept)) / sqrt(count(*))) > {case('tf', {k: v[1] for k, v in TF_TREND.items()}, 2.0)} then 'HAUSSIER'
       when stddev_samp(y - (slope * x + intercept)) > 0 and any_value(slope) / (stddev_samp(y - (slope * x + intercept)) / sqrt(count(*))) < -{case('tf', {k: v[1] for k, v in TF_TREND.items()}, 2.0)} then 'BAISSIER'
       else 'NEUTRE' end as trend

@@ -2,10 +2,11 @@
 
 Every source is a queue of its documents in shuffled order, passed through up
 to ``repeats`` times. An entry's virtual finish time is the source's words up to
-and including it, divided by the source's target. All entries are sorted by
-that time over range partitions and cut where their words reach the budget, the
-size of the whole corpus; so at any time sources are served in proportion to
-their targets, to within a document.
+it, divided by the source's target; a document counts as finished when half of
+it is served, so that a source ends within half a document of its target. All
+entries are sorted by that time over range partitions and cut where their words
+reach the budget, the size of the whole corpus; so at any time sources are
+served in proportion to their targets.
 
 Cumulative sums never gather a source: words are summed by (source, slice of
 the shuffled order), the short list of slice sums is accumulated, and only
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         entries.withColumn("done", F.sum("words").over(within))
         .join(by_slice, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("slice") == F.col("its_slice")))
         .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("finish", F.when(F.col("target") > 0, (F.col("round") * F.col("source_size") + F.col("before") + F.col("done")).cast("double") / F.col("target")).otherwise(0.0))
+        .withColumn("finish", F.when(F.col("target") > 0, ((F.col("round") * F.col("source_size") + F.col("before") + F.col("done")).cast("double") - F.col("words") / 2.0) / F.col("target")).otherwise(0.0))
         .select("doc_id", "source", "size", "copies", "words", "ticket", "round", "finish", "source_size", "target", "budget")
     )
     order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("ticket"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("round")]
@@ -128,7 +129,7 @@ targets as (
   select source, source_size, budget, case when budget > 0 then least(ceiling::double, weight * level) else 0.0 end as target from levels, level),
 queue as (
   select e.*, t.source_size, t.target, t.budget, r.round,
-         case when target > 0 then (r.round * source_size + (sum(words) over (partition by e.source, r.round order by ticket, doc_id nulls first, size rows unbounded preceding))::bigint)::double / target else 0.0 end as finish
+         case when target > 0 then ((r.round * source_size + (sum(words) over (partition by e.source, r.round order by ticket, doc_id nulls first, size rows unbounded preceding))::bigint)::double - words / 2.0) / target else 0.0 end as finish
   from entries e join targets t on e.source is not distinct from t.source, (select unnest([0, 1, 2]) as round) r),
 line as (
   select *, sum(words) over (order by finish, source nulls last, ticket, doc_id nulls first, size, round rows unbounded preceding) as reached from queue),

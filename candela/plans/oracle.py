@@ -374,4 +374,23 @@ from {picked(5.0, 10.0)} group by symbol"""),
 from (select symbol, tf, 'pivots' as kind from tiered union all select symbol, tf, 'trend_zones' from trend_zones where asset_class in ('INDEX', 'METAL') union all select symbol, tf, 'zones' from zones
   union all select symbol, null, 'after_confluence' from confluences_ union all select symbol, null, 'exported_json' from {picked(2.0, 20.0)} union all select symbol, null, 'exported_llm' from {picked(2.0, 57.0)}) x
 group by grouping sets ((symbol, tf), (symbol), ()) having not (grouping(symbol, tf) = 0 and tf is null)"""),
+    "requested_frames": chain(f"""select symbol, tf, count(b.bar_idx) as n_bars
+from (select symbol, unnest({list(TIMEFRAMES)}) as tf from symbols) s left join bars b using (symbol, tf) group by symbol, tf"""),
+    "candle_payloads": noise_bars(500).rsplit("\nselect", 1)[0].replace("arg_max(price, (ts, place)) as close from", "arg_max(price, (ts, place)) as close, count(*) as volume from").replace(
+        "arg_max(close, start) from", "arg_max(close, start), sum(volume) from").replace("high, low, close from h4", "high, low, close, volume from h4") + f"""
+select symbol, tf, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {q('close')} as close, volume::bigint as volume from (
+  select *, row_number() over (partition by symbol, tf order by ts) - 1 as bar_idx from bars) where bar_idx % 5 <> 0
+qualify row_number() over (partition by symbol, tf order by bar_idx desc) <= 50""",
+    "quote_payloads": """select n_name as symbol, case when n_nationkey > 0 and n_nationkey % 7 <> 0 then (n_nationkey + n_nationkey + 1) / 2.0 end as price,
+  case when n_nationkey > 0 and n_nationkey % 7 <> 0 then case when n_nationkey % 3 = 0 or n_nationkey % 2 = 0 then 'live' else 'stale' end end as source from nation""",
+    "cache_freshness": """select id, (id * 37) % 700 <= case when id % 5 = 0 then 20 else [60, 300, 600, 300][id % 4 + 1] end as fresh from range(400) r(id)""",
+    "coverage_patched": chain("""select symbol, null::varchar as scan_error from (select distinct symbol from trends)
+union all select symbol, 'Symbole manquant dans les resultats' from symbols where symbol not in (select symbol from trends)"""),
+    "confluence_thresholds": chain(f"select symbol, {case('symbol', CONFLUENCE_THRESHOLDS, UI_CONFLUENCE_THRESHOLD)} as threshold from symbols"),
+    "report_lines": "",
 }
+CELLS = " || ' ' || ".join(f"rpad(case when length({c}) > 14 then substr({c}, 1, 13) || '.' else {c} end, 14, ' ')" for c in ("symbol", "price_text", "type", "level_text", "force", "status", "dist", "dist_atr"))
+SQL["report_lines"] = SQL["display_rows"].rsplit("\nselect replace", 1)[0] + f""",
+shown as (select replace{SQL['display_rows'].rsplit(chr(10) + 'select replace', 1)[1]})
+select 0 as section, printf('[!] %s : %s', symbol, anomaly) as line from ({chain('select symbol, anomaly from anomalies')}) where anomaly is not null and anomaly <> 'Prix STALE (marché fermé)'
+union all select case tf when 'H4' then 1 when 'Daily' then 2 else 3 end, {CELLS} from shown where in_pdf"""

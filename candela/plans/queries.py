@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions import hashes
 from candela.functions.scores import decay_weight, quantised, structural_score
 from candela.functions.text import latin_text, redact
 from candela.operators import bars as bar_ops
 from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
 from candela.plans.scan import Scan, min_touches
 from candela.schema import TIMEFRAMES, with_profile
-from candela.sources import ticks
+from candela.sources import payloads, ticks
 from candela.storage import written
 
 #: What a scan of the fixture asks for; two have no bars.
@@ -362,3 +363,50 @@ def scan_summary(s):
 @on_fixture
 def class_a_totals(s):
     return s.totals()
+
+
+@on_fixture
+def requested_frames(s):
+    """Every symbol asked for with every time frame, and how many bars there are."""
+    frames = s.symbols.withColumn("tf", F.explode(F.array(*map(F.lit, TIMEFRAMES))))
+    return frames.join(s.bars.groupBy("symbol", "tf").agg(F.count("*").alias("n_bars")), ["symbol", "tf"], "left").select("symbol", "tf", F.coalesce("n_bars", F.lit(0)).alias("n_bars"))
+
+
+@query
+def candle_payloads(spark, sf_dir):
+    """Bars to the service's JSON and back; every fifth candle is incomplete."""
+    rows = noise(spark, sf_dir)
+    mid = F.struct(*(F.col(c).cast("string").alias(c[0]) for c in ("open", "high", "low", "close")))
+    candle = F.struct("bar_idx", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), (F.col("bar_idx") % 5 != 0).alias("complete"), "volume", mid.alias("mid"))
+    bodies = rows.groupBy("symbol", "tf").agg(F.to_json(F.struct(F.array_sort(F.collect_list(candle)).alias("candles"))).alias("payload"))
+    return payloads.candles(bodies, 50).select("symbol", "tf", "ts", "close", "volume")
+
+
+@query
+def quote_payloads(spark, sf_dir):
+    k = F.col("n_nationkey")
+    price = F.struct(F.when(k % 7 == 0, F.lit("none")).otherwise(k.cast("string")).alias("closeoutBid"), (k + 1).cast("string").alias("closeoutAsk"), F.when(k % 3 == 0, F.lit(None)).otherwise(k % 2 == 0).alias("tradeable"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("symbol"), F.to_json(F.struct(F.array(price).alias("prices"))).alias("payload"))
+    return payloads.quotes(rows)
+
+
+@query
+def cache_freshness(spark, sf_dir):
+    tf = F.element_at(F.array(*map(F.lit, (*TIMEFRAMES, "M1"))), (F.col("id") % 4 + 1).cast("int"))
+    rows = spark.range(400).select("id", tf.alias("tf"), ((F.col("id") * 37) % 700).alias("age"), (F.col("id") % 5).alias("rows"))
+    return rows.select("id", hashes.is_fresh(F.col("tf"), F.col("age"), F.col("rows")).alias("fresh"))
+
+
+@on_fixture
+def coverage_patched(s):
+    return quality.patched(s.trends.select("symbol", F.lit(None).cast("string").alias("scan_error")).distinct(), s.symbols)
+
+
+@on_fixture
+def confluence_thresholds(s):
+    return s.symbols.select("symbol", confluence.threshold(F.col("symbol")).alias("threshold"))
+
+
+@on_fixture
+def report_lines(s):
+    return exports.sections(s.rows, s.anomalies)

@@ -6,8 +6,9 @@ among the others; each text's vector is divided by its length, and logistic
 regression learns weights over these values. The fit uses at most TRAIN_ROWS
 labelled rows, chosen by a hash of their id; every text is scored.
 
-Counting, and each step of the regression, is a Spark job over the sample's
-partitions; the driver holds the weights, of fixed size, and nothing else.
+N-grams are counted by Spark over the sample's partitions; the regression runs in
+one task, over the kept features of TRAIN_ROWS rows at most. The driver holds
+the weights, of fixed size, and nothing else.
 
 Defined results: null text counts as empty; an empty text has no feature and
 its score is that of the intercept; rows without a label (or id) are scored but
@@ -30,10 +31,10 @@ from pyspark.sql import types as T
 from candela.llm.common import appended, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
-TRAIN_ROWS, PARTS = 10_000, 8
+TRAIN_ROWS, PARTS = 8_000, 8
 #: n-gram lengths; hash space; features kept, those with the strongest evidence; texts a feature must occur in.
-LENGTHS, SPACE, KEPT, LEAST = (4, 5, 6), 1 << 20, 1 << 13, 3
-STEPS, RIDGE = 40, 1e-5
+LENGTHS, SPACE, KEPT, LEAST = (4, 5, 6), 1 << 20, 1 << 12, 3
+STEPS, RIDGE = 100, 1e-5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -111,24 +112,37 @@ def vectors(texts: DataFrame, features: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "toxic int, places array<int>")
 
 
-def gradient(rows: DataFrame, model: Model, weight: tuple[float, float]) -> np.ndarray:
-    """Of the weighted logistic loss; the intercept's comes last. Each partition returns one vector of fixed size."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, weight))
+def learned(table: DataFrame, ratios: np.ndarray, share: tuple[float, float]) -> np.ndarray:
+    """Weights, and last the intercept. One task: its rows are the sample's, so TRAIN_ROWS times KEPT bounds it."""
+    shared = table.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (_, ratios, weights, intercept), share = shared.value
-        out = np.zeros(len(ratios) + 1)
+        ratios, parts = shared.value, []
         for batch in batches:
-            for toxic, places in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = places.values.to_numpy(zero_copy_only=False) if places.values is not None else np.empty(0, np.int64)
-                x = ratios[at]
-                x = x / (np.sqrt(x @ x) or 1.0)
-                off = share[toxic] * (sigmoid(x @ weights[at] + intercept) - toxic)
-                out[at] += off * x
-                out[-1] += off
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
-
-    return sum((np.frombuffer(r["part"]) for r in rows.mapInArrow(run, "part binary").toLocalIterator()), np.zeros(len(model.ratios) + 1))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [np.asarray(p, np.int64) for p in part.column(1).to_pylist()]
+                places = np.concatenate(rows) if rows else np.empty(0, np.int64)
+                row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                x = ratios[places]
+                norm = np.sqrt(np.bincount(row, x * x, len(rows)))
+                parts.append((places.astype(np.uint16), (x / np.where(norm > 0, norm, 1)[row]).astype(np.float32), row.astype(np.uint16), part.column(0).to_numpy()))
+
+        def slope(w: np.ndarray) -> np.ndarray:
+            out = RIDGE * np.append(w[:-1], 0)
+            for places, x, row, toxic in parts:
+                off = np.where(toxic == 1, share[1], share[0]) * (sigmoid(np.bincount(row, x * w[places], len(toxic)) + w[-1]) - toxic)
+                out[:-1] += np.bincount(places, x * off[row], len(ratios))
+                out[-1] += off.sum()
+            return out
+
+        now, ahead, t = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1), 1.0
+        for _ in range(STEPS):  # accelerated gradient steps; vectors have length 1, so the loss curves by at most 1/2
+            later, t_next = ahead - 2.0 * slope(ahead), (1 + np.sqrt(1 + 4 * t * t)) / 2
+            now, ahead, t = later, later + (t - 1) / t_next * (later - now), t_next
+        yield pa.RecordBatch.from_arrays([pa.array([now.tobytes()], pa.binary())], names=["weights"])
+
+    return np.frombuffer(table.repartition(1).mapInArrow(run, "weights binary").first()["weights"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -143,14 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     strong = strong.orderBy((F.abs("ratio") * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature").limit(KEPT).select("feature", "ratio").toPandas()  # KEPT rows at most
     features = strong["feature"].to_numpy(np.int64)
     model = Model(features, strong["ratio"].to_numpy(float), np.zeros(len(features)), 0.0)
-    table = written(vectors(texts, features))
-    weight = (0.5 / n0, 0.5 / n1)  # both kinds count alike
-    now, ahead, t = np.zeros(len(features) + 1), np.zeros(len(features) + 1), 1.0
-    for _ in range(STEPS):  # accelerated gradient steps; vectors have length 1, so the loss curves by at most 1/2
-        slope = gradient(table, model._replace(weights=ahead[:-1], intercept=ahead[-1]), weight) + RIDGE * np.append(ahead[:-1], 0)
-        later, t_next = ahead - 2.0 * slope, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        now, ahead, t = later, later + (t - 1) / t_next * (later - now), t_next
-    return model._replace(weights=now[:-1], intercept=float(now[-1]))
+    weights = learned(vectors(texts, features), model.ratios, (0.5 / n0, 0.5 / n1))  # both kinds count alike
+    return model._replace(weights=weights[:-1], intercept=float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -24,7 +24,6 @@ import base64
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended
+from candela.llm.common import appended, held
 
 #: Bounds of the lazily filled tables, in entries.
 STATES, PAIRS, PATHS, LONGEST_PATH = 1 << 16, 1 << 19, 1 << 19, 48
@@ -293,10 +292,9 @@ class Codec:
         yield machine.close()
 
 
-@lru_cache(maxsize=4)
 def codec(rank_file: bytes, pattern: str) -> Codec:
     """One codec for each vocabulary and Python worker."""
-    return Codec(rank_file, pattern)
+    return held(("bpe", hash(rank_file), pattern), lambda: Codec(rank_file, pattern))
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

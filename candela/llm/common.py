@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from candela.storage import shared_dir, written
 
-__all__ = ["appended", "ascii_lower", "fresh", "n_words", "shared_dir", "small", "table", "written"]
+__all__ = ["appended", "ascii_lower", "fresh", "held", "n_words", "shared_dir", "small", "table", "written"]
 
 #: A side is broadcast only when it was written and counted first and is no larger than this.
 BROADCAST_BYTES = 8 << 20
@@ -59,3 +59,14 @@ def appended(df: DataFrame, make: Callable[[pa.RecordBatch], list], name: str, k
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(make(part), arrow)], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+
+
+_held: dict = {}
+
+
+def held(owner, make: Callable):
+    """Tables that a Python worker keeps between tasks: one operator's at a time, as workers serve all of them in turn."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]

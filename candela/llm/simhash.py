@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended, fresh, small, written
+from candela.llm.common import appended, fresh, held, small, written
 
 RADIUS, WIDTH, SEED, BUCKET = 4, 4, 42, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -59,6 +59,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, bits): bits is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", dict)  # it has no tables, but other operators' may go
         for batch in batches:
             bits = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])

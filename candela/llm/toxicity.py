@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended, written
+from candela.llm.common import appended, held, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
 TRAIN_ROWS, PARTS = 8_000, 8
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def make(batch: pa.RecordBatch) -> list[float]:
         features, ratios, weights, intercept = shared.value
         if Tables.place is None:
+            held("toxicity", dict)  # other operators' tables may go
             Tables.place, Tables.scratch = np.full(SPACE, -1, np.int64), np.zeros(SPACE, np.int64)
             Tables.place[features] = np.arange(len(features))
         out = []

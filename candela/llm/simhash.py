@@ -145,10 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
         return hops.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = written(edges.filter("a <> b"))
+    tasks = 2 * edges.sparkSession.sparkContext.defaultParallelism  # links are few for their documents: no more files than tasks run at once
+    edges = written(edges.filter("a <> b").coalesce(tasks))
     before = mark(edges)
     while True:
-        edges = written(little(large(edges)))
+        edges = written(little(large(edges)).coalesce(tasks))
         after = mark(edges)
         if tuple(after) == tuple(before):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -22,7 +22,7 @@ non-null id, null if it has none; other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,24 +37,33 @@ RADIUS, WIDTH, SEED, BUCKET = 4, 4, 42, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, width: int = WIDTH, lower: bool = True) -> int:
-    """64 bits; a bit is set if it is in over half the hashes of the text's word shingles."""
+def shingles(text: str | None, width: int = WIDTH, lower: bool = True) -> np.ndarray:
+    """Hashes of the text's word shingles, with repeats; a text of fewer words is one shingle."""
     data = (text or "").encode()
     words = (data.translate(LOWER) if lower else data).split()  # at space and \\t to \\r
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     width = min(width, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: len(words) - width] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = WIDTH, lower: bool = True) -> int:
+    """64 bits; a bit is set if it is in over half the hashes of the text's word shingles."""
+    hashes = shingles(text, width, lower)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, bits): bits is the fingerprint as a signed 64-bit integer."""
 
@@ -160,21 +169,31 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id, bits, root (the group, as one of its fingerprints), component_id: one row for each document."""
     marked = written(with_fingerprints(docs, doc_id, text))
     distinct = written(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("bits")))
-    rooted = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.join(ids, "root").select("bits", "root", "component_id"), "bits").select("doc_id", "bits", "root", "component_id")
+    return rooted(marked, distinct, links(distinct.select("bits")))
+
+
+def rooted(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, bits), (bits, least id) and links between bits -> the rows of groups()."""
+    roots = components(edges)
+    found = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(found.join(ids, "root").select("bits", "root", "component_id"), "bits").select("doc_id", "bits", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays (null ids last, one of equal ids)."""
-    found = written(groups(docs, doc_id, text))
+    return without_copies(docs, groups(docs, doc_id, text), lambda t: signed(fingerprint(t)), doc_id, text)
+
+
+def without_copies(docs: DataFrame, grouped: DataFrame, bits_of: Callable[[str | None], int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """deduplicate() by the rows of groups(); bits_of gives a text's bits again."""
+    found = written(grouped)
     if found.agg((F.count("*") == F.countDistinct("doc_id")).alias("unique")).first()["unique"]:
         gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)))
         return docs.join(small(gone, 24), doc_id, "left_anti")
     bits, root, key = (fresh(docs, x) for x in ("its_bits", "its_root", "its_key"))
     at = docs.columns.index(text)
-    marked = appended(docs, lambda batch: [x - (1 << 64) if x >> 63 else x for x in (fingerprint(t.as_py()) for t in batch.column(at))], bits, T.LongType(), pa.int64())
+    marked = appended(docs, lambda batch: [bits_of(t.as_py()) for t in batch.column(at)], bits, T.LongType(), pa.int64())
     row = F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in docs.columns))))
     roots = found.select(F.col("bits").alias(bits), F.col("root").alias(root)).distinct()
     rooted = marked.join(roots, bits).withColumn(key, F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("id"), row.alias("row")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, suffix_dedup, token_counts, topk, toxicity, urls
+from candela.llm import near_copies as near
 from candela.llm.queries import RANKS, URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -151,6 +152,37 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.groups(docs(spark, []).limit(0)).count() == 0
 
 
+def groups_by_jaccard(texts, width=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+    return parent
+
+
+@pytest.mark.parametrize("strip", [256, 3])
+def test_near_duplicates_stage(spark, monkeypatch, strip):
+    monkeypatch.setattr(near, "STRIP", strip)  # 3: tiles of two strips
+    texts = [*near_copies(random.Random(12)), None, "one two three"]
+    want = groups_by_jaccard(texts)
+    assert len(set(want)) < len(set(groups_by_force([slow_fingerprint(t) for t in texts])))  # SimHash at radius 4 leaves some
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").collect()) == sorted(set(want))
+    got = {r["doc_id"]: r["component_id"] for r in near.groups(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = [(r["doc_id"], r["text"]) for r in near.deduplicate(odd(spark)).collect()]
+    assert sorted(got, key=str) == sorted([(1, ""), (2, "one two three four five"), (3, "x" * 200_000)], key=str)
+    assert near.groups(docs(spark, []).limit(0)).count() == 0
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(6)
     syllables = ["ta", "lo", "mi", "ner", "sub", "ka", "ro"]

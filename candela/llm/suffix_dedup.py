@@ -15,6 +15,11 @@ compared byte by byte, to the right and to the left of the anchor. A bucket's
 edge never cuts a group of suffixes with a common lead, as splitters fall
 between different leads; so no match is lost at a boundary.
 
+A lead with more than CROWD different contexts doesn't go there, as its group
+would meet in one task. Its repeated passages are found by counting hashes of
+128 bits in Spark: first of what all passages of a block of BLOCK offsets have in
+common, then, where that occurs again, of each passage of the block.
+
 Defined results: null text counts as empty; texts shorter than SPAN lose
 nothing; copies of a text of SPAN bytes or more all go whole; rows are told
 apart by nothing but their text, so equal or null ids don't matter; other
@@ -39,6 +44,8 @@ REACH = SPAN - LEAD
 PLACE_BITS, PART = 27, 1 << 24
 #: Groups of up to so many different contexts are compared pair by pair, larger ones by window hashes.
 PAIRS = 24
+#: Leads with more different contexts than this are settled by counts in Spark, for BLOCK offsets at once at first.
+CROWD, BLOCK = 512, 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 ANCHOR = "t1 long, t2 long, at long, lead long, context long, low int, high int"
@@ -184,7 +191,7 @@ def compare(group: list[Member]) -> None:
                     a.mark(first, last)
                     b.mark(first, last)
         return
-    # many members: for every offset those with equal passages, by two hashes modulo primes
+    # many members, CROWD at most: for every offset those with equal passages, by two hashes modulo primes
     rows = np.zeros((len(group), REACH + SPAN), np.int64)
     for i, m in enumerate(group):
         rows[i, REACH - m.high : REACH] = np.frombuffer(m.left[::-1], np.uint8) + 1
@@ -228,13 +235,69 @@ def sorted_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def block_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in; for each block of offsets a hash of the bytes that all of its passages share, which every context that has one of them holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            rows = []
+            for lead, context, low, high, data in zip(*(batch.column(i).slice(at, 1024).to_pylist() for i in range(5))):
+                for block in range(low // BLOCK, high // BLOCK + 1):
+                    begin = high - block * BLOCK
+                    rows.append((lead, context, block, xxhash.xxh3_128_digest(data[begin : begin + SPAN - BLOCK + 1])))
+            yield coded(rows)
+
+
+def passage_codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts and their blocks in; a hash of each passage of these blocks by its offset before the anchor."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = []
+            for lead, context, low, high, data, blocks in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(6))):
+                for block in blocks:
+                    for offset in range(max(low, block * BLOCK), min(high, block * BLOCK + BLOCK - 1) + 1):
+                        rows.append((lead, context, offset, xxhash.xxh3_128_digest(data[high - offset : high - offset + SPAN])))
+            yield coded(rows)
+
+
+def coded(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["lead", "context", "place", "code"])
+
+
+def offset_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, context, offsets) in; offsets as runs."""
+    for batch in batches:
+        runs = []
+        for offsets in batch.column(2).to_pylist():
+            flags = np.zeros(REACH + 1, bool)
+            flags[offsets] = True
+            runs.append(runs_of(flags, 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["lead", "context", "runs"])
+
+
+def counted_runs(contexts: DataFrame) -> DataFrame:
+    """(lead, context, runs) of the passages that occur in several contexts of a lead, by counts; no task holds a lead's contexts."""
+
+    def again(codes: DataFrame) -> DataFrame:  # those whose code another context of the lead has too
+        codes = written(codes)
+        often = written(codes.groupBy("lead", "place", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+        return codes.join(small(often, 60), ["lead", "place", "code"], "left_semi")
+
+    kind = "lead long, context long, place int, code binary"
+    own = written(contexts.select("lead", "context", "low", "high", "data"))
+    blocks = again(own.mapInArrow(block_codes, kind)).groupBy("lead", "context").agg(F.collect_set("place").alias("blocks"))
+    offsets = again(own.join(blocks, ["lead", "context"]).select(*own.columns, "blocks").mapInArrow(passage_codes, kind))
+    return offsets.groupBy("lead", "context").agg(F.collect_set("place").alias("offsets")).mapInArrow(offset_runs, "lead long, context long, runs array<int>")
+
+
 def repeats(texts: DataFrame) -> DataFrame:
     """(t1, t2, spans): for each text with repeated passages the flat pairs (begin, end) of bytes that some of them cover."""
     spark = texts.sparkSession
     found = anchors(texts)
     counted = written(found.groupBy("lead", "context").agg(F.count("*").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high")))
     leads = counted.groupBy("lead").agg(F.count("*").alias("contexts"), F.sum("rows").alias("all"))
-    mixed_leads = small(written(leads.filter("contexts > 1").select("lead")), 24)
+    several = written(leads.filter("contexts > 1").select("lead", (F.col("contexts") > CROWD).alias("crowded")))
+    mixed_leads = small(several.select("lead"), 24)
     settled = counted.filter("rows > 1").join(mixed_leads, "lead", "left_anti").select("lead", "context", F.array("low", "high").alias("runs"))
 
     mixed = written(counted.join(mixed_leads, "lead", "left_semi"))
@@ -243,10 +306,20 @@ def repeats(texts: DataFrame) -> DataFrame:
     needed = small(written(where.select("t1", "t2").distinct()), 40)
     bodies = texts.join(needed, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     spots = where.join(mixed, ["lead", "context"])
-    by_text = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("lead", "context", "rows", "low", "high", "at")).alias("spots"))
-    cut = bodies.join(by_text, ["t1", "t2"]).select(F.col("text").cast("binary").alias("text"), F.explode("spots").alias("s"))
-    data = F.substring("text", (F.col("s.at") - F.col("s.high") + 1).cast("int"), F.col("s.high") - F.col("s.low") + SPAN)
-    contexts = cut.select("s.lead", "s.context", "s.rows", "s.low", "s.high", data.alias("data"))
+
+    def fetched(spots: DataFrame) -> DataFrame:  # contexts with their bytes
+        by_text = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("lead", "context", "rows", "low", "high", "at")).alias("spots"))
+        cut = bodies.join(by_text, ["t1", "t2"]).select(F.col("text").cast("binary").alias("text"), F.explode("spots").alias("s"))
+        data = F.substring("text", (F.col("s.at") - F.col("s.high") + 1).cast("int"), F.col("s.high") - F.col("s.low") + SPAN)
+        return cut.select("s.lead", "s.context", "s.rows", "s.low", "s.high", data.alias("data"))
+
+    crowds = written(several.filter("crowded").select("lead"))
+    if not crowds.isEmpty():
+        crowded = spots.join(small(crowds, 24), "lead", "left_semi")
+        whole = crowded.filter("rows > 1").select("lead", "context", F.array("low", "high").alias("runs"))
+        settled = settled.unionByName(whole).unionByName(counted_runs(fetched(crowded)).join(whole.select("lead", "context"), ["lead", "context"], "left_anti"))
+        spots = spots.join(small(crowds, 24), "lead", "left_anti")
+    contexts = fetched(spots)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     leading = F.substring("data", F.col("high") + 1, F.lit(LEAD))
     dealt = contexts.withColumn("leading", leading).repartitionByRange(parts, "leading").drop("leading")

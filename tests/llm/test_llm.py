@@ -250,6 +250,30 @@ def test_repeated_passages(spark, monkeypatch, pairs):
     assert [got[i] for i in range(len(texts))] == want and sum(w[1] for w in want) > 2000
 
 
+def test_crowded_leads_meet_in_no_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 8, raising=False)
+    buckets, lead = suffix_dedup.sorted_buckets, suffix_dedup.LEAD
+
+    def guarded(batches):
+        batches, seen = list(batches), {}
+        for batch in batches:
+            for high, data in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                key = data[high : high + lead]
+                seen[key] = seen.get(key, 0) + 1
+        assert max(seen.values(), default=0) <= 8
+        yield from buckets(iter(batches))
+
+    monkeypatch.setattr(suffix_dedup, "sorted_buckets", guarded)
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh éè") for _ in range(n))
+    licence, more = noise(330), [noise(90) for _ in range(3)]
+    texts = [noise(rng.randint(200, 400)) + rng.choice(["", *more]) + licence + rng.choice(["", *more]) + noise(rng.randint(200, 400)) for _ in range(60)]
+    texts += [texts[0], noise(500) + texts[1][100:700] + noise(30)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(docs(spark, texts)).collect()}
+    want = removed_by_force(texts)
+    assert [got[i] for i in range(len(texts))] == want and 2000 < sum(w[1] for w in want) < 40_000
+
+
 def test_multikey_sort():
     rng = random.Random(8)
     for _ in range(30):

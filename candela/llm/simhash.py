@@ -8,8 +8,10 @@ collides in some table, and each table keeps about half the bits.
 
 A bucket of more than BUCKET distinct fingerprints is dealt again by a family
 of masks over the positions that its own mask leaves free, which covers its
-pairs the same way. A third family leaves eight free positions or fewer, hence
-at most 256 fingerprints; no bucket grows with the corpus and none is cut.
+pairs the same way. The vectors follow each other as powers in the field of 32
+elements, so any few of them are spread over all dimensions: a third family
+leaves ten free positions or fewer, hence at most 1,024 fingerprints; no bucket
+grows with the corpus and none is cut.
 Within a bucket near pairs are joined to local groups, of which only a star of
 links leaves the task. Groups of distinct fingerprints then are found by
 alternating large and small stars.
@@ -34,6 +36,10 @@ from pyspark.sql import types as T
 from candela.llm.common import appended, fresh, held, small, written
 
 RADIUS, WIDTH, SEED, BUCKET = 4, 4, 42, 256
+#: Vectors of the positions, in order: powers of x modulo x^5 + x^2 + 1, each nonzero vector once.
+VECTORS = [1]
+while len(VECTORS) < (1 << RADIUS + 1) - 1:
+    VECTORS.append(VECTORS[-1] << 1 ^ (0b100101 if VECTORS[-1] & 16 else 0))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -79,8 +85,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def family(positions: list[int]) -> list[int]:
     """Masks over these bit positions, as signed integers, that cover every pair within RADIUS."""
-    vectors = (1 << RADIUS + 1) - 1
-    masks = [sum(1 << p for i, p in enumerate(positions) if (((i % vectors) + 1) & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    masks = [sum(1 << p for i, p in enumerate(positions) if (VECTORS[i % len(VECTORS)] & v).bit_count() & 1) for v in range(1, len(VECTORS) + 1)]
     return sorted({m - (1 << 64) if m >> 63 else m for m in masks})
 
 

@@ -135,6 +135,14 @@ def test_masks_cover_every_pair():
         assert any(not m & flips for m in masks)
 
 
+def test_three_families_leave_ten_bits_at_most():
+    assert sorted(simhash.VECTORS) == list(range(1, 32))
+    fixed = {0}
+    for _ in range(3):
+        fixed = {f | m for f in fixed for m in simhash.family(simhash.free(f & ((1 << 64) - 1)))}
+    assert max(len(simhash.free(f & ((1 << 64) - 1))) for f in fixed) <= 10
+
+
 @pytest.mark.parametrize("bucket", [256, 2])
 def test_simhash_groups(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)  # 2: the second and third family of masks

@@ -22,13 +22,18 @@ def list_hash(values: Column) -> Column:
     return F.sha2(F.to_json(values), 256)
 
 
-# Seconds that a fetched frame stays fresh.
+# Seconds that a fetched frame stays fresh; of unknown time frames, of empty frames.
 TTL = {"H4": 60, "Daily": 300, "Weekly": 600}
+TTL_OTHER, TTL_EMPTY = 300, 20
+
+
+def time_to_live(tf: str, empty: bool) -> int:
+    return TTL_EMPTY if empty else TTL.get(tf, TTL_OTHER)
 
 
 def is_fresh(tf: Column, age_seconds: Column, rows: Column) -> Column:
-    """Whether a cached frame may be used: empty ones expire after 20 seconds, unknown time frames after 300."""
-    ttl = F.lit(300)
+    """Whether a cached frame may be used."""
+    ttl = F.lit(TTL_OTHER)
     for name, seconds in TTL.items():
         ttl = F.when(tf == name, seconds).otherwise(ttl)
-    return age_seconds <= F.when(rows == 0, 20).otherwise(ttl)
+    return age_seconds <= F.when(rows == 0, TTL_EMPTY).otherwise(ttl)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.storage import shared_dir, written
+from candela.storage import shared_dir, stored, written
 
-__all__ = ["appended", "ascii_lower", "fresh", "held", "n_words", "shared_dir", "small", "table", "written"]
+__all__ = ["appended", "ascii_lower", "fresh", "held", "n_words", "shared_dir", "small", "stored", "table", "written"]
 
 #: A side is broadcast only when it was written and counted first and is no larger than this.
 BROADCAST_BYTES = 8 << 20

@@ -4,16 +4,19 @@ A passage is SPAN bytes. Of the suffixes that start in the first REACH bytes of
 a passage the one whose leading LEAD bytes hash lowest is its anchor: equal
 passages have their anchors at equal places, so only suffixes at anchors are
 kept, about one in a hundred and thirty bytes. An anchor's context is all the
-passages that it stands for; anchors are first counted by hashes of their lead
-and of their context, which rules out suffixes that occur once and settles those
-whose whole context occurs again.
-
-What is left, leads that occur in different contexts, goes through the suffix
-array: suffixes are dealt by range of their leading bytes (Spark samples the
-splitters), sorted in each bucket by multikey quicksort, and neighbours are
-compared byte by byte, to the right and to the left of the anchor. A bucket's
-edge never cuts a group of suffixes with a common lead, as splitters fall
-between different leads; so no match is lost at a boundary.
+passages that it stands for. Anchors are found once and written; those whose
+lead occurs once can't match and go. Equal contexts are one entry with a
+multiplicity, told apart by 128 bits of hash, so copies meet in no task.
+
+An entry whose lead no other context has is repeated exactly if its multiplicity
+is above one. All others go through the suffix array: they are dealt by range
+of their first KEY bytes and their lead (Spark samples the splitters from these
+short keys), sorted in each bucket by multikey quicksort, and compared by bytes.
+A bucket's edge never cuts a group of suffixes with a common lead, as splitters
+fall between different leads; so no match is lost at a boundary. What two
+suffixes of a group share to the right of the anchor is the least that
+neighbours between them share, and the same holds to the left of it in the order
+of the reversed bytes; a passage occurs in both if it fits into both stretches.
 
 A lead with more than CROWD different contexts doesn't go there, as its group
 would meet in one task. Its repeated passages are found by counting hashes of
@@ -23,7 +26,7 @@ common, then, where that occurs again, of each passage of the block.
 Defined results: null text counts as empty; texts shorter than SPAN lose
 nothing; copies of a text of SPAN bytes or more all go whole; rows are told
 apart by nothing but their text, so equal or null ids don't matter; other
-columns don't matter in spans(). Contexts and leads are told apart by 128 bits.
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,16 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import small, written
+from candela.llm.common import small, stored, written
 
 SPAN, LEAD = 400, 128
 REACH = SPAN - LEAD
 #: In a hash with a position in its low bits: their number. Longer texts are scanned in parts.
 PLACE_BITS, PART = 27, 1 << 24
-#: Groups of up to so many different contexts are compared pair by pair, larger ones by window hashes.
-PAIRS = 24
 #: Leads with more different contexts than this are settled by counts in Spark, for BLOCK offsets at once at first.
 CROWD, BLOCK = 512, 32
+#: Bytes of a suffix in the keys that splitters are sampled from.
+KEY = 16
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 ANCHOR = "t1 long, t2 long, at long, lead long, context long, low int, high int"
@@ -169,49 +172,34 @@ class Member:
         self.left, self.right = data[:high][::-1], data[high:]
         self.flags = np.full(high - low + 1, rows > 1)  # by offset before the anchor: does the passage there occur again
 
-    def mark(self, first: int, last: int) -> None:
-        first, last = max(first, self.low), min(last, self.high)
-        if first <= last:
-            self.flags[first - self.low : last - self.low + 1] = True
+
+def shared_with(i: int, between: np.ndarray) -> np.ndarray:
+    """What the i-th of sorted strings shares with each of them, from what neighbours share; for itself SPAN."""
+    after = np.minimum.accumulate(between[i:])
+    before = np.minimum.accumulate(between[:i][::-1])[::-1]
+    return np.concatenate([before, [SPAN], after])
 
 
 def compare(group: list[Member]) -> None:
-    """Members in suffix order with a common lead: marks every passage that another member has too."""
-    if len(group) <= PAIRS:
-        shared = [common(a.right, b.right) for a, b in zip(group, group[1:])]
-        for i, a in enumerate(group):
-            right = SPAN
-            for j in range(i + 1, len(group)):
-                right = min(right, shared[j - 1])  # what two suffixes share is the least that neighbours between them share
-                if right < LEAD:
-                    break
-                b = group[j]
-                first, last = max(SPAN - right, a.low, b.low), min(common(a.left, b.left), a.high, b.high)
-                if first <= last:
-                    a.mark(first, last)
-                    b.mark(first, last)
+    """Members in suffix order with a common lead, CROWD at most: marks every passage that another member has too."""
+    n = len(group)
+    if n < 2:
         return
-    # many members, CROWD at most: for every offset those with equal passages, by two hashes modulo primes
-    rows = np.zeros((len(group), REACH + SPAN), np.int64)
-    for i, m in enumerate(group):
-        rows[i, REACH - m.high : REACH] = np.frombuffer(m.left[::-1], np.uint8) + 1
-        rows[i, REACH : REACH + len(m.right)] = np.frombuffer(m.right, np.uint8) + 1
+    right = np.array([common(a.right, b.right) for a, b in zip(group, group[1:])], np.int64)
+    order = sorted(range(n), key=lambda i: group[i].left)
+    left = np.array([common(group[i].left, group[j].left) for i, j in zip(order, order[1:])], np.int64)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     low, high = (np.array([getattr(m, x) for m in group]) for x in ("low", "high"))
-    sums = []
-    for prime, base in ((2147483647, 1103515245), (2147483629, 69069)):
-        h = np.zeros((len(group), REACH + SPAN + 1), np.int64)
-        for j in range(REACH + SPAN):
-            h[:, j + 1] = (h[:, j] * base + rows[:, j]) % prime
-        sums.append((h, prime, pow(base, SPAN, prime)))
-    for offset in range(REACH + 1):
-        there = np.flatnonzero((low <= offset) & (offset <= high))
-        if len(there) > 1:
-            begin = REACH - offset
-            (a, p, x), (b, r, y) = sums
-            code = ((a[there, begin + SPAN] - a[there, begin] * x) % p) << 31 | (b[there, begin + SPAN] - b[there, begin] * y) % r
-            _, number, size = np.unique(code, return_inverse=True, return_counts=True)
-            for i in there[size[number] > 1]:
-                group[i].flags[offset - group[i].low] = True
+    for i, m in enumerate(group):
+        first = np.maximum(np.maximum(SPAN - shared_with(i, right), low), m.low)
+        last = np.minimum(np.minimum(shared_with(place[i], left)[place], high), m.high)
+        last[i] = -1
+        there = first <= last
+        if there.any():
+            size = m.high - m.low + 2
+            change = np.bincount(first[there] - m.low, minlength=size) - np.bincount(last[there] - m.low + 1, minlength=size)
+            m.flags |= np.cumsum(change)[:-1] > 0
 
 
 def sorted_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +267,11 @@ def counted_runs(contexts: DataFrame) -> DataFrame:
     """(lead, context, runs) of the passages that occur in several contexts of a lead, by counts; no task holds a lead's contexts."""
 
     def again(codes: DataFrame) -> DataFrame:  # those whose code another context of the lead has too
-        codes = written(codes)
         often = written(codes.groupBy("lead", "place", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
         return codes.join(small(often, 60), ["lead", "place", "code"], "left_semi")
 
     kind = "lead long, context long, place int, code binary"
-    own = written(contexts.select("lead", "context", "low", "high", "data"))
+    own = stored(contexts.select("lead", "context", "low", "high", "data"))
     blocks = again(own.mapInArrow(block_codes, kind)).groupBy("lead", "context").agg(F.collect_set("place").alias("blocks"))
     offsets = again(own.join(blocks, ["lead", "context"]).select(*own.columns, "blocks").mapInArrow(passage_codes, kind))
     return offsets.groupBy("lead", "context").agg(F.collect_set("place").alias("offsets")).mapInArrow(offset_runs, "lead long, context long, runs array<int>")
@@ -293,19 +280,17 @@ def counted_runs(contexts: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame) -> DataFrame:
     """(t1, t2, spans): for each text with repeated passages the flat pairs (begin, end) of bytes that some of them cover."""
     spark = texts.sparkSession
-    found = anchors(texts)
-    counted = written(found.groupBy("lead", "context").agg(F.count("*").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high")))
-    leads = counted.groupBy("lead").agg(F.count("*").alias("contexts"), F.sum("rows").alias("all"))
-    several = written(leads.filter("contexts > 1").select("lead", (F.col("contexts") > CROWD).alias("crowded")))
-    mixed_leads = small(several.select("lead"), 24)
-    settled = counted.filter("rows > 1").join(mixed_leads, "lead", "left_anti").select("lead", "context", F.array("low", "high").alias("runs"))
-
-    mixed = written(counted.join(mixed_leads, "lead", "left_semi"))
-    sample = found.join(small(mixed.select("lead", "context"), 40), ["lead", "context"], "left_semi")
-    where = written(sample.groupBy("lead", "context").agg(F.min(F.struct("t1", "t2", "at")).alias("one")).select("lead", "context", "one.*"))
-    needed = small(written(where.select("t1", "t2").distinct()), 40)
+    found = stored(anchors(texts))
+    again = found.groupBy("lead").agg(F.count("*").alias("rows")).filter("rows > 1").select("lead")
+    found = stored(found.join(again, "lead", "left_semi"))
+    one = F.min(F.struct("t1", "t2", "at")).alias("one")
+    counted = stored(found.groupBy("lead", "context").agg(F.count("*").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"), one))
+    several = stored(counted.groupBy("lead").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("lead", (F.col("contexts") > CROWD).alias("crowded")))
+    settled = counted.filter("rows > 1").join(several, "lead", "left_anti").select("lead", "context", F.array("low", "high").alias("runs"))
+
+    spots = stored(counted.join(several, "lead").select("lead", "context", "rows", "low", "high", "one.*", "crowded"))
+    needed = small(written(spots.select("t1", "t2").distinct()), 40)
     bodies = texts.join(needed, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-    spots = where.join(mixed, ["lead", "context"])
 
     def fetched(spots: DataFrame) -> DataFrame:  # contexts with their bytes
         by_text = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("lead", "context", "rows", "low", "high", "at")).alias("spots"))
@@ -313,19 +298,17 @@ def repeats(texts: DataFrame) -> DataFrame:
         data = F.substring("text", (F.col("s.at") - F.col("s.high") + 1).cast("int"), F.col("s.high") - F.col("s.low") + SPAN)
         return cut.select("s.lead", "s.context", "s.rows", "s.low", "s.high", data.alias("data"))
 
-    crowds = written(several.filter("crowded").select("lead"))
-    if not crowds.isEmpty():
-        crowded = spots.join(small(crowds, 24), "lead", "left_semi")
+    crowded = spots.filter("crowded")
+    if not crowded.isEmpty():
         whole = crowded.filter("rows > 1").select("lead", "context", F.array("low", "high").alias("runs"))
         settled = settled.unionByName(whole).unionByName(counted_runs(fetched(crowded)).join(whole.select("lead", "context"), ["lead", "context"], "left_anti"))
-        spots = spots.join(small(crowds, 24), "lead", "left_anti")
-    contexts = fetched(spots)
+    contexts = fetched(spots.filter("not crowded"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    leading = F.substring("data", F.col("high") + 1, F.lit(LEAD))
-    dealt = contexts.withColumn("leading", leading).repartitionByRange(parts, "leading").drop("leading")
+    leading = F.substring("data", F.col("high") + 1, F.lit(KEY))
+    dealt = contexts.withColumn("leading", leading).repartitionByRange(parts, "leading", "lead").drop("leading")
     compared = dealt.mapInArrow(sorted_buckets, "lead long, context long, runs array<int>")
 
-    runs = written(settled.unionByName(compared))
+    runs = stored(settled.unionByName(compared))
     places = found.join(runs, ["lead", "context"]).select("t1", "t2", "at", "runs").distinct()
     spans = F.transform(F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1), lambda i: F.struct((F.col("at") - F.get("runs", (2 * i + 1).cast("int"))).alias("begin"), (F.col("at") - F.get("runs", (2 * i).cast("int")) + SPAN).alias("end")))
     return places.select("t1", "t2", F.explode(spans).alias("s")).groupBy("t1", "t2").agg(F.array_sort(F.collect_list("s")).alias("spans"))

@@ -238,9 +238,9 @@ def removed_by_force(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize("pairs", [24, 1])
-def test_repeated_passages(spark, monkeypatch, pairs):
-    monkeypatch.setattr(suffix_dedup, "PAIRS", pairs)  # 1: window hashes for every group
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_repeated_passages(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)  # 2: counts for most groups
     rng = random.Random(7)
     noise = lambda n: "".join(rng.choice("abcdefgh éè") for _ in range(n))
     shared = [noise(n) for n in (399, 400, 401, 520, 900)]
@@ -282,6 +282,26 @@ def test_crowded_leads_meet_in_no_task(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and 2000 < sum(w[1] for w in want) < 40_000
 
 
+def test_large_groups_are_compared_by_bytes():
+    rng = random.Random(14)
+    lead = bytes(rng.choice(b"xyz") for _ in range(suffix_dedup.LEAD))
+    contexts = []
+    for _ in range(90):
+        low, high = sorted((rng.randint(0, 60), rng.randint(0, suffix_dedup.REACH)))
+        left = bytes(rng.choice(b"a" * 60 + b"b") for _ in range(high))
+        right = bytes(rng.choice(b"c" * 200 + b"d") for _ in range(suffix_dedup.SPAN - low - len(lead)))
+        contexts.append((low, high, left + lead + right))
+    group = sorted((suffix_dedup.Member(i, 1, *c) for i, c in enumerate(contexts)), key=lambda m: m.right)
+    suffix_dedup.compare(group)
+    window = lambda c, offset: c[2][c[1] - offset : c[1] - offset + suffix_dedup.SPAN]
+    for m in group:
+        own = contexts[m.key]
+        for offset in range(own[0], own[1] + 1):
+            again = any(i != m.key and c[0] <= offset <= c[1] and window(c, offset) == window(own, offset) for i, c in enumerate(contexts))
+            assert m.flags[offset - own[0]] == again
+    assert any(m.flags.any() for m in group) and not all(m.flags.all() for m in group)
+
+
 def test_multikey_sort():
     rng = random.Random(8)
     for _ in range(30):
@@ -442,9 +462,8 @@ def test_pipeline(spark, tmp_path):
         done[name] = rows
     kept = {r["doc_id"] for r in done["toxicity"].collect()}
     assert not any("grumbolt" in (texts[i] or "") for i in kept) and len(kept) > 170
-    prints = {i: slow_fingerprint(texts[i]) for i in kept}
     order = sorted(kept)
-    parents = groups_by_force([prints[i] for i in order])
+    parents = groups_by_jaccard([texts[i] for i in order])
     assert sorted(r["doc_id"] for r in done["simhash_near_dedup"].collect()) == sorted({order[p] for p in parents})
     assert not done["secret_scan"].filter("text rlike '[0-9a-f]{40}'").count()
     assert done["source_mix"].columns == table.columns

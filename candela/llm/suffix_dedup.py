@@ -281,7 +281,7 @@ def repeats(texts: DataFrame) -> DataFrame:
     """(t1, t2, spans): for each text with repeated passages the flat pairs (begin, end) of bytes that some of them cover."""
     spark = texts.sparkSession
     found = stored(anchors(texts))
-    again = found.groupBy("lead").agg(F.count("*").alias("rows")).filter("rows > 1").select("lead")
+    again = stored(found.groupBy("lead").agg(F.count("*").alias("rows")).filter("rows > 1").select("lead"))  # apart, so that a hot lead's rows are split in the join
     found = stored(found.join(again, "lead", "left_semi"))
     one = F.min(F.struct("t1", "t2", "at")).alias("one")
     counted = stored(found.groupBy("lead", "context").agg(F.count("*").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"), one))

@@ -2,24 +2,29 @@
 
 A text's features are the hashed n-grams that occur in it, whatever their count.
 Feature f is worth r_f, the log of its share among toxic texts over its share
-among the others; each text's vector is divided by its length, and logistic
-regression learns weights over these values. The fit uses at most TRAIN_ROWS
-labelled rows, chosen by a hash of their id; every text is scored.
-
-N-grams are counted by Spark over the sample's partitions; the regression runs in
-one task, over the kept features of TRAIN_ROWS rows at most. The driver holds
-the weights, of fixed size, and nothing else.
+among the others, both shares smoothed by PRIOR texts of the average mix, so
+that rare features are worth little and unknown ones nothing; each text's vector
+is divided by its length, and logistic regression learns weights over these
+values. The fit uses at most TRAIN_ROWS
+labelled rows, chosen by a hash of their id, one text for each id, and all
+features that occur in them; every text is scored.
+
+N-grams are counted, and loss and gradient summed up, by Spark over the sample's
+PARTS partitions; the driver takes the steps (limited-memory BFGS). It holds the
+counts, ratios, weights and a few former steps, vectors of SPACE numbers whatever
+the input, and no rows.
 
 Defined results: null text counts as empty; an empty text has no feature and
 its score is that of the intercept; rows without a label (or id) are scored but
-not learned from; a doc with several labels counts by the largest; without
-labels of both kinds every score is the share of toxic rows (0 if there are
-none); other columns pass through score().
+not learned from; a doc with several labels counts by the largest; of several
+texts with one id the one of least hash is learned from; n-grams that the sample
+lacks count for nothing; without labels of both kinds every score is the share
+of toxic rows (0 if there are none); other columns pass through score().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended, held, written
+from candela.llm.common import appended, held, stored, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
-TRAIN_ROWS, PARTS = 8_000, 8
-#: n-gram lengths; hash space; features kept, those with the strongest evidence; texts a feature must occur in.
-LENGTHS, SPACE, KEPT, LEAST = (4, 5, 6), 1 << 20, 1 << 12, 3
-STEPS, RIDGE = 100, 1e-5
+TRAIN_ROWS, PARTS = 10_000, 8
+#: n-gram lengths; places that n-grams are hashed to.
+LENGTHS, SPACE = (4, 5, 6), 1 << 20
+#: Texts that smooth a feature's shares; weight of the penalty.
+PRIOR, RIDGE = 60, 1e-5
+#: Steps of the fit at most, former steps that one looks at, the gradient's length that ends it.
+STEPS, FORMER, ENOUGH = 15, 5, 1e-4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,8 +70,7 @@ def distinct(features: np.ndarray, scratch: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    features: np.ndarray  # kept features
-    ratios: np.ndarray  # r of each
+    ratios: np.ndarray  # r of each feature
     weights: np.ndarray
     intercept: float
 
@@ -73,114 +80,133 @@ def sigmoid(x):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, toxic) of at most `rows` labelled rows outside the held-out fold."""
+    """(text, toxic) of at most `rows` labelled ids outside the held-out fold."""
     known = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("its_id"), "toxic"))
     own = docs.select(F.col(doc_id).alias("its_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), "its_id").select("text", "toxic")  # chosen: `rows` ids at most
+    joined = own.join(F.broadcast(chosen), "its_id")  # chosen: `rows` ids at most
+    return joined.groupBy("its_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): in how many texts of either kind it occurs."""
+def vectors(texts: DataFrame) -> DataFrame:
+    """(toxic, features): the features of each text once, as 32-bit integers in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, scratch = np.zeros((2, SPACE), np.int64), np.zeros(SPACE, np.int64)
+        scratch = np.zeros(SPACE, np.int64)
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[toxic][distinct(grams(text.as_py()), scratch)] += 1
-        seen = np.flatnonzero(counts.any(axis=0))
-        for at in range(0, len(seen), 1 << 16):
-            part = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[1][part]), pa.array(counts[0][part])], names=["feature", "toxic", "clean"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.sort(distinct(grams(t.as_py()), scratch)).astype("<i4").tobytes() for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["toxic", "features"])
 
-    return texts.mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.mapInArrow(run, "toxic int, features binary")
 
 
-def vectors(texts: DataFrame, features: np.ndarray) -> DataFrame:
-    """(toxic, places): for each text the places of its kept features."""
-    shared = texts.sparkSession.sparkContext.broadcast(features)
+def summed(rows: DataFrame, total: Callable[[Iterator[tuple[np.ndarray, int]]], np.ndarray]) -> np.ndarray:
+    """Sum over partitions of a vector that total() makes of their rows' (features, toxic); the driver gets PARTS vectors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, scratch = np.full(SPACE, -1, np.int64), np.zeros(SPACE, np.int64)
-        place[shared.value] = np.arange(len(shared.value))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                places = [place[distinct(f[place[f] >= 0], scratch)].astype(np.int32) for f in (grams(t.as_py()) for t in part.column(0))]
-                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["toxic", "places"])
+        own = ((np.frombuffer(f.as_buffer(), "<i4"), toxic) for batch in batches for toxic, f in zip(batch.column(0).to_pylist(), batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array([total(own).tobytes()], pa.binary())], names=["vector"])
 
-    return texts.mapInArrow(run, "toxic int, places array<int>")
+    return sum(np.frombuffer(row["vector"], np.float32).astype(np.float64) for row in rows.mapInArrow(run, "vector binary").collect())
 
 
-def learned(table: DataFrame, ratios: np.ndarray, share: tuple[float, float]) -> np.ndarray:
-    """Weights, and last the intercept. One task: its rows are the sample's, so TRAIN_ROWS times KEPT bounds it."""
-    shared = table.sparkSession.sparkContext.broadcast(ratios)
+def counts(rows: DataFrame) -> np.ndarray:
+    """Two rows, clean and toxic: in how many texts each feature occurs; last column: how many texts there are."""
+
+    def total(own: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
+        out = np.zeros((2, SPACE + 1), np.float32)
+        for features, toxic in own:
+            out[toxic][features] += 1
+            out[toxic][-1] += 1
+        return out
+
+    return summed(rows, total).reshape(2, SPACE + 1)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, parts = shared.value, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [np.asarray(p, np.int64) for p in part.column(1).to_pylist()]
-                places = np.concatenate(rows) if rows else np.empty(0, np.int64)
-                row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-                x = ratios[places]
-                norm = np.sqrt(np.bincount(row, x * x, len(rows)))
-                parts.append((places.astype(np.uint16), (x / np.where(norm > 0, norm, 1)[row]).astype(np.float32), row.astype(np.uint16), part.column(0).to_numpy()))
-
-        def slope(w: np.ndarray) -> np.ndarray:
-            out = RIDGE * np.append(w[:-1], 0)
-            for places, x, row, toxic in parts:
-                off = np.where(toxic == 1, share[1], share[0]) * (sigmoid(np.bincount(row, x * w[places], len(toxic)) + w[-1]) - toxic)
-                out[:-1] += np.bincount(places, x * off[row], len(ratios))
-                out[-1] += off.sum()
-            return out
-
-        now, ahead, t = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1), 1.0
-        for _ in range(STEPS):  # accelerated gradient steps; vectors have length 1, so the loss curves by at most 1/2
-            later, t_next = ahead - 2.0 * slope(ahead), (1 + np.sqrt(1 + 4 * t * t)) / 2
-            now, ahead, t = later, later + (t - 1) / t_next * (later - now), t_next
-        yield pa.RecordBatch.from_arrays([pa.array([now.tobytes()], pa.binary())], names=["weights"])
-
-    return np.frombuffer(table.repartition(1).mapInArrow(run, "weights binary").first()["weights"])
+
+def log_ratios(clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    mix = n1 / (n0 + n1)
+    return np.log((toxic + PRIOR * mix) / n1) - np.log((clean + PRIOR * (1 - mix)) / n0)
+
+
+def loss_and_slope(rows: DataFrame, ratios: np.ndarray, weights: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Logistic loss over the sample with its penalty, and its gradient; the last weight is the intercept."""
+    shared = rows.sparkSession.sparkContext.broadcast((ratios.astype(np.float32), weights.astype(np.float32)))
+
+    def total(own: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
+        r, w = shared.value
+        slope, loss = np.zeros(SPACE + 1), 0.0
+        for features, toxic in own:
+            x = r[features]
+            x = x / (np.sqrt(x @ x) or 1.0)
+            logit = float(x @ w[features] + w[-1])
+            off = share[toxic] * (sigmoid(logit) - toxic)
+            slope[features] += off * x
+            slope[-1] += off
+            loss += share[toxic] * float(np.logaddexp(0.0, -logit if toxic else logit))
+        return np.append(slope, loss).astype(np.float32)
+
+    out = summed(rows, total)
+    shared.unpersist()
+    return float(out[-1] + RIDGE / 2 * (weights[:-1] @ weights[:-1])), out[:-1] + RIDGE * np.append(weights[:-1], 0)
+
+
+def minimised(slope_at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray) -> np.ndarray:
+    """Limited-memory BFGS; the first step is the one that the loss's largest curvature, 1/2, allows."""
+    here, (loss, slope) = start, slope_at(start)
+    former: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.sqrt(slope @ slope) < ENOUGH:
+            break
+        way, back = -slope, []
+        for move, turn in reversed(former):
+            back.append((move @ way) / (move @ turn))
+            way = way - back[-1] * turn
+        way = way * ((former[-1][0] @ former[-1][1]) / (former[-1][1] @ former[-1][1]) if former else 2.0)
+        for (move, turn), a in zip(former, reversed(back)):
+            way = way + (a - (turn @ way) / (move @ turn)) * move
+        length = 1.0
+        while True:
+            there = here + length * way
+            new_loss, new_slope = slope_at(there)
+            if new_loss <= loss + 1e-4 * length * (slope @ way) or length < 1e-3:
+                break
+            length /= 4
+        if new_loss >= loss:
+            break
+        if (there - here) @ (new_slope - slope) > 0:
+            former = [*former[1 - FORMER :], (there - here, new_slope - slope)]
+        here, loss, slope = there, new_loss, new_slope
+    return here
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    texts = written(sample(docs, labels, rows, doc_id, text).repartition(PARTS))
-    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # two rows
-    n0, n1 = n.get(0, 0), n.get(1, 0)
+    learned = stored(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS, F.xxhash64("text"))))
+    clean, toxic = counts(learned)
+    n0, n1 = clean[-1], toxic[-1]
     if not n0 or not n1:
         share = min(max(n1 / max(1, n0 + n1), 1e-9), 1 - 1e-9)
-        return Model(np.empty(0, np.int64), np.empty(0), np.empty(0), float(np.log(share / (1 - share))))
-    ratio = F.log((F.col("toxic") + 1) / F.lit(float(n1 + 2))) - F.log((F.col("clean") + 1) / F.lit(float(n0 + 2)))
-    strong = counted(texts).filter(F.col("toxic") + F.col("clean") >= LEAST).withColumn("ratio", ratio)
-    strong = strong.orderBy((F.abs("ratio") * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature").limit(KEPT).select("feature", "ratio").toPandas()  # KEPT rows at most
-    features = strong["feature"].to_numpy(np.int64)
-    model = Model(features, strong["ratio"].to_numpy(float), np.zeros(len(features)), 0.0)
-    weights = learned(vectors(texts, features), model.ratios, (0.5 / n0, 0.5 / n1))  # both kinds count alike
-    return model._replace(weights=weights[:-1], intercept=float(weights[-1]))
+        return Model(np.zeros(SPACE, np.float32), np.zeros(SPACE, np.float32), float(np.log(share / (1 - share))))
+    ratios = log_ratios(clean[:-1], toxic[:-1], n0, n1)
+    share = 0.5 / n0, 0.5 / n1  # both kinds count alike
+    weights = minimised(lambda w: loss_and_slope(learned, ratios, w, share), np.zeros(SPACE + 1))
+    return Model(ratios.astype(np.float32), weights[:-1].astype(np.float32), float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """docs with each text's probability to be toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB
     at = docs.columns.index(text)
 
-    class Tables:  # made once for each worker and task
-        place = None
-
     def make(batch: pa.RecordBatch) -> list[float]:
-        features, ratios, weights, intercept = shared.value
-        if Tables.place is None:
-            held("toxicity", dict)  # other operators' tables may go
-            Tables.place, Tables.scratch = np.full(SPACE, -1, np.int64), np.zeros(SPACE, np.int64)
-            Tables.place[features] = np.arange(len(features))
+        ratios, weights, intercept = shared.value
+        scratch = held("toxicity", lambda: np.zeros(SPACE, np.int64))
         out = []
         for value in batch.column(at):
-            found = grams(value.as_py())
-            places = Tables.place[distinct(found[Tables.place[found] >= 0], Tables.scratch)]
-            x = ratios[places]
-            out.append(float(sigmoid((x @ weights[places]) / (np.sqrt(x @ x) or 1.0) + intercept)))
+            features = distinct(grams(value.as_py()), scratch)
+            x = ratios[features]
+            out.append(float(sigmoid(float(x @ weights[features]) / (float(np.sqrt(x @ x)) or 1.0) + intercept)))
         return out
 
     return appended(docs, make, name, T.DoubleType(), pa.float64())

@@ -11,7 +11,7 @@ the lookahead is bounded by the longest token. States and arcs are built when
 first met and kept in bounded tables.
 
 Decoding joins the tokens' bytes chunk by chunk and passes them through an
-incremental UTF-8 state machine that holds back at most three bytes.
+incremental UTF-8 state machine, whose state is all that a chunk leaves behind.
 
 Defined results: null or empty text has no tokens; an unknown id raises
 ValueError; bytes that aren't UTF-8 decode to U+FFFD in text, unchanged in
@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from candela.llm.common import appended, held
 
 #: Bounds of the lazily filled tables, in entries.
-STATES, PAIRS, PATHS, LONGEST_PATH = 1 << 16, 1 << 19, 1 << 19, 48
+STATES, PAIRS, PATHS, LONGEST_PATH = 1 << 15, 1 << 18, 1 << 18, 48
 
 
 def read_ranks(path: str) -> bytes:
@@ -228,39 +228,79 @@ class Paths(dict):
         return packed
 
 
-#: After a lead byte: continuation bytes that follow, and the range of the first of them.
-def utf8_lead(byte: int) -> tuple[int, int, int]:
-    if 0xC2 <= byte <= 0xDF:
-        return 1, 0x80, 0xBF
-    if 0xE0 <= byte <= 0xEF:
-        return 2, 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
-    if 0xF0 <= byte <= 0xF4:
-        return 3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
-    return 0, 0x80, 0xBF
+def utf8_table() -> list[list[int]]:
+    """States by byte class of the UTF-8 machine: 0 between characters, then what must follow.
+
+    1-3: so many more bytes, any continuation; 4-7: the next byte from a
+    narrower range, after E0, ED, F0 and F4. -1: the byte can't stand here.
+    """
+    table = [[-1] * 256 for _ in range(8)]
+    table[0][:0x80] = [0] * 0x80
+    for lead in range(0xC2, 0xF5):
+        table[0][lead] = 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3
+    for lead, state in ((0xE0, 4), (0xED, 5), (0xF0, 6), (0xF4, 7)):
+        table[0][lead] = state
+    for state, low, high, after in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state][low : high + 1] = [after] * (high - low + 1)
+    return table
+
+
+UTF8 = utf8_table()
+REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
 class Utf8Machine:
-    """Bytes in, text out, in any chunks; what may still become a character is held back."""
+    """Bytes in, text out, in any chunks.
+
+    The state says what may follow; the only other memory is the value of the
+    character that has begun. A byte that can't follow ends what has begun with
+    one replacement character and is looked at again between characters. The
+    machine steps through the edges of a chunk; what lies between is taken over
+    whole if it is sound, else stepped through too.
+    """
 
     def __init__(self):
-        self.held = b""
+        self.state = self.value = 0
+
+    def step(self, data: bytes, out: list[str]) -> None:
+        state, value, table = self.state, self.value, UTF8
+        for byte in data:
+            after = table[state][byte]
+            if after < 0:
+                out.append(REPLACEMENT)
+                if state == 0:
+                    continue
+                state = 0
+                if (after := table[0][byte]) < 0:
+                    out.append(REPLACEMENT)
+                    continue
+            if state == 0:
+                value = byte if after == 0 else byte & (0x1F if byte < 0xE0 else 0x0F if byte < 0xF0 else 0x07)
+            else:
+                value = value << 6 | byte & 0x3F
+            state = after
+            if state == 0:
+                out.append(chr(value))
+        self.state, self.value = state, value
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:
-                more, low, high = utf8_lead(byte)
-                if more >= back and (back == 1 or low <= data[1 - back] <= high):
-                    cut -= back
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out: list[str] = []
+        begin, end = 0, len(data)
+        while self.state and begin < end:
+            self.step(data[begin : begin + 1], out)
+            begin += 1
+        back = next((k for k in range(1, min(3, end - begin) + 1) if data[end - k] & 0xC0 == 0xC0), 0)  # a character that may go on in the next chunk
+        middle = data[begin : end - back]
+        try:
+            out.append(middle.decode())
+        except UnicodeDecodeError:
+            self.step(middle, out)
+        self.step(data[end - back :] if back else b"", out)
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.held = self.held.decode("utf-8", "replace"), b""
-        return rest
+        begun, self.state = self.state, 0
+        return REPLACEMENT if begun else ""
 
 
 class Codec:
@@ -279,15 +319,19 @@ class Codec:
     def count(self, piece: str) -> int:
         return len(self.paths[piece]) // 4
 
-    def decode(self, packed: bytes | None, chunk: int = 1 << 14) -> Iterator[str]:
-        """Text, chunk by chunk."""
-        machine, tokens = Utf8Machine(), self.merges.tokens
-        ids = memoryview(packed or b"").cast("I")
+    def decode_bytes(self, packed: bytes | None, chunk: int = 1 << 14) -> Iterator[bytes]:
+        """The tokens' bytes, chunk by chunk."""
+        tokens, ids = self.merges.tokens, memoryview(packed or b"").cast("I")
         for at in range(0, len(ids), chunk):
             try:
-                data = b"".join(map(tokens.__getitem__, ids[at : at + chunk]))
+                yield b"".join(map(tokens.__getitem__, ids[at : at + chunk]))
             except KeyError as e:
                 raise ValueError(f"no token has the id {e}") from None
+
+    def decode(self, packed: bytes | None, chunk: int = 1 << 14) -> Iterator[str]:
+        """Text, chunk by chunk."""
+        machine = Utf8Machine()
+        for data in self.decode_bytes(packed, chunk):
             yield machine.feed(data)
         yield machine.close()
 
@@ -320,6 +364,36 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", text: st
     return appended(df, make, text, T.StringType(), pa.string())
 
 
+def decode_bytes(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """Adds the bytes that packed ids stand for, be they UTF-8 or not."""
+    file = df.sparkSession.sparkContext.broadcast(ranks)
+    at = df.columns.index(ids)
+
+    def make(batch: pa.RecordBatch) -> list[bytes]:
+        own = codec(file.value, pattern)
+        return [b"".join(own.decode_bytes(x)) for x in batch.column(at).to_pylist()]
+
+    return appended(df, make, data, T.BinaryType(), pa.binary())
+
+
+def decode_chunks(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", chunk: int = 1 << 14) -> DataFrame:
+    """A row (columns but ids, part, decoded) for each `chunk` tokens, in order of part: no text is whole in memory, however long."""
+    file = df.sparkSession.sparkContext.broadcast(ranks)
+    at, others = df.columns.index(ids), [c for c in df.columns if c != ids]
+    if clash := {c.lower() for c in others} & {"part", "decoded"}:
+        raise ValueError(f"columns already: {sorted(clash)}")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(file.value, pattern)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                for part, text in enumerate(own.decode(row.column(at)[0].as_py(), chunk)):
+                    yield pa.RecordBatch.from_arrays([*(row.column(c) for c in others), pa.array([part], pa.int32()), pa.array([text], pa.string())], names=[*others, "part", "decoded"])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in others), T.StructField("part", T.IntegerType()), T.StructField("decoded", T.StringType())]))
+
+
 def ids_array(ids: Column) -> Column:
     """Packed ids as array<int>."""
     def word(i: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended, held, stored, written
+from candela.llm.common import appended, held, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
 TRAIN_ROWS, PARTS = 10_000, 8
@@ -42,7 +42,7 @@ LENGTHS, SPACE = (4, 5, 6), 1 << 20
 #: Texts that smooth a feature's shares; weight of the penalty.
 PRIOR, RIDGE = 60, 1e-5
 #: Steps of the fit at most, former steps that one looks at, the gradient's length that ends it.
-STEPS, FORMER, ENOUGH = 15, 5, 1e-4
+STEPS, FORMER, ENOUGH = 20, 5, 1e-4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,42 +102,42 @@ def vectors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "toxic int, features binary")
 
 
-def summed(rows: DataFrame, total: Callable[[Iterator[tuple[np.ndarray, int]]], np.ndarray]) -> np.ndarray:
-    """Sum over partitions of a vector that total() makes of their rows' (features, toxic); the driver gets PARTS vectors."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ((np.frombuffer(f.as_buffer(), "<i4"), toxic) for batch in batches for toxic, f in zip(batch.column(0).to_pylist(), batch.column(1)))
-        yield pa.RecordBatch.from_arrays([pa.array([total(own).tobytes()], pa.binary())], names=["vector"])
-
-    return sum(np.frombuffer(row["vector"], np.float32).astype(np.float64) for row in rows.mapInArrow(run, "vector binary").collect())
+def in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """(features, toxic) of rows of vectors()."""
+    for batch in batches:
+        for toxic, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield np.frombuffer(found.as_buffer(), "<i4"), toxic
 
 
 def counts(rows: DataFrame) -> np.ndarray:
     """Two rows, clean and toxic: in how many texts each feature occurs; last column: how many texts there are."""
 
-    def total(own: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
-        out = np.zeros((2, SPACE + 1), np.float32)
-        for features, toxic in own:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, SPACE + 1), np.int32)
+        for features, toxic in in_order(batches):
             out[toxic][features] += 1
             out[toxic][-1] += 1
-        return out
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["vector"])
 
-    return summed(rows, total).reshape(2, SPACE + 1)
+    out = np.zeros((2, SPACE + 1), np.int32)
+    for row in rows.mapInArrow(run, "vector binary").toLocalIterator():  # one partition's at a time
+        out += np.frombuffer(row["vector"], np.int32).reshape(2, SPACE + 1)
+    return out
 
 
-def log_ratios(clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float) -> np.ndarray:
+def log_ratios(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
     mix = n1 / (n0 + n1)
-    return np.log((toxic + PRIOR * mix) / n1) - np.log((clean + PRIOR * (1 - mix)) / n0)
+    return (np.log((toxic + PRIOR * mix) / n1) - np.log((clean + PRIOR * (1 - mix)) / n0)).astype(np.float32)
 
 
-def loss_and_slope(rows: DataFrame, ratios: np.ndarray, weights: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
-    """Logistic loss over the sample with its penalty, and its gradient; the last weight is the intercept."""
-    shared = rows.sparkSession.sparkContext.broadcast((ratios.astype(np.float32), weights.astype(np.float32)))
+def loss_and_slope(rows: DataFrame, ratios, weights: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Logistic loss over the sample with its penalty, and its gradient; the last weight is the intercept. ratios: a broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
-    def total(own: Iterator[tuple[np.ndarray, int]]) -> np.ndarray:
-        r, w = shared.value
-        slope, loss = np.zeros(SPACE + 1), 0.0
-        for features, toxic in own:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, w = ratios.value, shared.value
+        slope, loss = np.zeros(SPACE + 1, np.float32), 0.0
+        for features, toxic in in_order(batches):
             x = r[features]
             x = x / (np.sqrt(x @ x) or 1.0)
             logit = float(x @ w[features] + w[-1])
@@ -145,53 +145,59 @@ def loss_and_slope(rows: DataFrame, ratios: np.ndarray, weights: np.ndarray, sha
             slope[features] += off * x
             slope[-1] += off
             loss += share[toxic] * float(np.logaddexp(0.0, -logit if toxic else logit))
-        return np.append(slope, loss).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
 
-    out = summed(rows, total)
-    shared.unpersist()
-    return float(out[-1] + RIDGE / 2 * (weights[:-1] @ weights[:-1])), out[:-1] + RIDGE * np.append(weights[:-1], 0)
+    found = rows.mapInArrow(run, "loss double, slope binary").collect()  # PARTS vectors of SPACE numbers
+    shared.destroy()
+    slope = RIDGE * weights
+    slope[-1] = 0
+    for row in found:
+        slope += np.frombuffer(row["slope"], np.float32)
+    return sum(row["loss"] for row in found) + RIDGE / 2 * float(weights[:-1] @ weights[:-1]), slope
 
 
 def minimised(slope_at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray) -> np.ndarray:
     """Limited-memory BFGS; the first step is the one that the loss's largest curvature, 1/2, allows."""
     here, (loss, slope) = start, slope_at(start)
-    former: list[tuple[np.ndarray, np.ndarray]] = []
+    former: list[tuple[np.ndarray, np.ndarray, float]] = []  # moves, how the slope turned, product of both
     for _ in range(STEPS):
         if np.sqrt(slope @ slope) < ENOUGH:
             break
         way, back = -slope, []
-        for move, turn in reversed(former):
-            back.append((move @ way) / (move @ turn))
-            way = way - back[-1] * turn
-        way = way * ((former[-1][0] @ former[-1][1]) / (former[-1][1] @ former[-1][1]) if former else 2.0)
-        for (move, turn), a in zip(former, reversed(back)):
-            way = way + (a - (turn @ way) / (move @ turn)) * move
+        for move, turn, bend in reversed(former):
+            back.append((move @ way) / bend)
+            way -= back[-1] * turn
+        way *= former[-1][2] / (former[-1][1] @ former[-1][1]) if former else 2.0
+        for (move, turn, bend), a in zip(former, reversed(back)):
+            way += (a - (turn @ way) / bend) * move
         length = 1.0
         while True:
-            there = here + length * way
+            there = here + np.float32(length) * way
             new_loss, new_slope = slope_at(there)
-            if new_loss <= loss + 1e-4 * length * (slope @ way) or length < 1e-3:
+            if new_loss <= loss + 1e-4 * length * float(slope @ way) or length < 1e-3:
                 break
             length /= 4
         if new_loss >= loss:
             break
-        if (there - here) @ (new_slope - slope) > 0:
-            former = [*former[1 - FORMER :], (there - here, new_slope - slope)]
+        move, turn = there - here, new_slope - slope
+        if (bend := float(move @ turn)) > 0:
+            former = [*former[1 - FORMER :], (move, turn, bend)]
         here, loss, slope = there, new_loss, new_slope
     return here
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    learned = stored(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS, F.xxhash64("text"))))
+    learned = written(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS, F.xxhash64("text"))))
     clean, toxic = counts(learned)
-    n0, n1 = clean[-1], toxic[-1]
+    n0, n1 = int(clean[-1]), int(toxic[-1])
     if not n0 or not n1:
         share = min(max(n1 / max(1, n0 + n1), 1e-9), 1 - 1e-9)
         return Model(np.zeros(SPACE, np.float32), np.zeros(SPACE, np.float32), float(np.log(share / (1 - share))))
     ratios = log_ratios(clean[:-1], toxic[:-1], n0, n1)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
     share = 0.5 / n0, 0.5 / n1  # both kinds count alike
-    weights = minimised(lambda w: loss_and_slope(learned, ratios, w, share), np.zeros(SPACE + 1))
-    return Model(ratios.astype(np.float32), weights[:-1].astype(np.float32), float(weights[-1]))
+    weights = minimised(lambda w: loss_and_slope(learned, shared, w, share), np.zeros(SPACE + 1, np.float32))
+    return Model(ratios, weights[:-1], float(weights[-1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -95,6 +95,9 @@ def test_bpe_in_spark(spark, encoding):
     assert len(got) == 7 and all(r["decoded"] == (r["text"] or "") and r["list"] == encoding.encode_ordinary(r["text"] or "") for r in got)
     with pytest.raises(ValueError):
         bpe.encode(ids, RAW, public_tokenizers.PATTERN)
+    parts = bpe.decode_chunks(ids.select("text", "ids"), RAW, public_tokenizers.PATTERN, chunk=100).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("part", "decoded"))).alias("p")).collect()
+    assert all(len(set(x["part"] for x in r["p"])) >= 1 and "".join(dict(x).get("decoded") for x in [y.asDict() for y in {z["part"]: z for z in r["p"]}.values()]) == (r["text"] or "") for r in parts)
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in bpe.decode_bytes(ids, RAW, public_tokenizers.PATTERN).collect())
 
 
 def slow_fingerprint(text):

@@ -57,7 +57,7 @@ def compared(members: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(key, text): key is never null and orders null ids last."""
-    key = F.struct(F.col(doc_id).isNull().alias("absent"), F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("id"))
+    key = F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("id"))
     return docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 

@@ -10,8 +10,10 @@ vectors that are null, or hold null or non-finite components, take no part;
 vectors of other length than the query's aren't candidates; ties go to the
 smaller id; a query is a distinct pair of id and vector, and one row that
 equals it is its own and left out, so further copies of that row are
-candidates; null ids take no part; other columns don't matter. A product whose
-sums may pass 2**53 is done in Python integers, exactly.
+candidates; null ids take no part; other columns don't matter. Products whose
+sums may pass 2**53 are put together from products of parts of components; a
+score beyond 64 bits counts as the nearest number that a long holds; a vector
+takes no part either if a scaled component isn't finite.
 """
 
 from __future__ import annotations
@@ -25,20 +27,42 @@ from pyspark.sql import functions as F
 BLOCK, STRIP, FAN = 32_768, 256, 16
 
 
-def usable(vec: Column) -> Column:
-    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def usable(vec: Column, scale: float) -> Column:
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
 
 
 def scaled(vectors: pd.Series, scale: float) -> np.ndarray:
     return np.floor(scale * np.stack([np.asarray(v, np.float64) for v in vectors]))
 
 
+#: Components are cut into parts of so many bits, whose products can be summed exactly in doubles.
+PART_BITS, MOST = 20, 2**63 - 1
+
+
+def parts_of(matrix: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers as sums of parts: the k-th times 2**(PART_BITS * k), each below 2**PART_BITS; as many as the largest needs."""
+    out, rest = [], matrix
+    while not out or rest.any():
+        left = np.trunc(rest / 2.0**PART_BITS)
+        out.append(rest - left * 2.0**PART_BITS)
+        rest = left
+    return out
+
+
 def product(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Inner products, exact; beyond 64 bits the nearest number that a long holds."""
     width = max(1, shard.shape[1])
-    if np.abs(queries).max(initial=0) * np.abs(shard).max(initial=0) * width < 2**53:
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * width
+    if largest < 2**53:
         return (queries @ shard.T).astype(np.int64)
-    exact = [[int(x) for x in row] for row in shard]
-    return np.array([[sum(int(a) * b for a, b in zip(q, row)) for row in exact] for q in queries], np.int64)
+    own, other = parts_of(queries), parts_of(shard)
+    kind = np.int64 if largest < 2**62 else object
+    out = np.zeros((len(queries), len(shard)), kind)
+    for i, a in enumerate(own):
+        for j, b in enumerate(other):
+            if a.any() and b.any():
+                out += (a @ b.T).astype(np.int64).astype(kind) * (1 << PART_BITS * (i + j))
+    return out if kind is np.int64 else np.maximum(np.minimum(out, MOST), -MOST - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -56,7 +80,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     spark = vectors.sparkSession
     rows = vectors.filter(is_query & F.lit(True)).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"))
     everything = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"))
-    good = F.col("id").isNotNull() & usable(F.col("vec"))
+    good = F.col("id").isNotNull() & usable(F.col("vec"), scale)
     rows, everything = rows.filter(good), everything.filter(good)
     dims, own = F.size("vec").alias("dims"), F.xxhash64("id", "vec").alias("own")
     queries = rows.select("id", "vec", dims, own).dropDuplicates(["id", "own"])

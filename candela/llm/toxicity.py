@@ -187,7 +187,7 @@ def minimised(slope_at: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    learned = written(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS, F.xxhash64("text"))))
+    learned = written(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS)))
     clean, toxic = counts(learned)
     n0, n1 = int(clean[-1]), int(toxic[-1])
     if not n0 or not n1:

@@ -1,7 +1,7 @@
 """URL rules, indexed by their rarest literal token.
 
 A rule is a host (with all its subdomains) and the beginning of a path; it
-becomes a regular expression over "host newline path". Its literal tokens are
+becomes a regular expression over host, NUL and path. Its literal tokens are
 the labels of its host and the complete segments of its path; it is indexed by
 the one that is rarest in the URLs at hand. A URL's tokens fetch candidate
 rules, and only those run their expressions. A rule without a literal token is
@@ -39,7 +39,7 @@ class Rule(NamedTuple):
 
     @property
     def regex(self) -> str:
-        return f"^(?:.*\\.)?{re.escape(self.host)}\\n{re.escape(self.path)}"
+        return f"^(?s:.*\\.)?{re.escape(self.host)}\\x00{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     fits = (
         places.select("host", "path", F.explode("tokens").alias("token"))
         .join(index, "token")
-        .filter(F.regexp(F.concat("host", F.lit("\n"), "path"), F.col("regex")))
+        .filter(F.regexp(F.concat("host", F.lit("\0"), "path"), F.col("regex")))
         .groupBy("host", "path")
         .agg(F.max(F.struct("long", (-F.col("rule")).alias("first"), "name", "rule_verdict")).alias("best"))
     )

@@ -342,6 +342,8 @@ def test_fingerprints_of_odd_rows(spark):
     lone = fingerprints.fingerprints(docs(spark, ["abcdefgh"])).first()
     assert lone["near_next"] == 1.0 and lone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert fingerprints.fingerprints(docs(spark, ["a"]).limit(0)).count() == 0
+    named = fingerprints.fingerprints(docs(spark, ["abcd", "efgh"]).withColumn("doc_id", F.concat(F.lit("x-"), "doc_id"))).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["edited_sha256"]) for r in named] == [("x-0", hashlib.sha256(b"abce").hexdigest()), ("x-1", hashlib.sha256(b"efga").hexdigest())]
 
 
 def test_edits_are_counted_as_if_anew(codec):
@@ -393,13 +395,14 @@ def test_secrets(spark):
 
 
 def test_urls(spark):
-    pages = [(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://b.net"), (3, "http://b.net/"), (4, None), (5, "nothing"), (6, "https://www.example.com/de/1#x"), (6, "https://www.example.com/de/1#x"), (7, "http://x.org/fr"), (8, "http://x.org/fr/1"), (9, "http://spam-farm.example.org/en/1"), (10, "http://notnet/"), (11, "a://b://c/d")]
+    pages = [(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://b.net"), (3, "http://b.net/"), (4, None), (5, "nothing"), (6, "https://www.example.com/de/1#x"), (6, "https://www.example.com/de/1#x"), (7, "http://x.org/fr"), (8, "http://x.org/fr/1"), (9, "http://spam-farm.example.org/en/1"), (10, "http://notnet/"), (11, "a://b://c/d"), (12, "http://a\n.b.net/x")]
     rows = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash"))
     got = sorted(tuple(r) for r in urls.judge(rows, URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect())
     assert got == [
         (1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "b.net", "", None, "allow"), (3, "b.net", "/", "net/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"),
         (6, "www.example.com", "/de/1", "example.com/de/", "block"), (6, "www.example.com", "/de/1", "example.com/de/", "block"), (7, "x.org", "/fr", None, "allow"), (8, "x.org", "/fr/1", "org/fr/", "allow"),
         (9, "spam-farm.example.org", "/en/1", None, "block"), (10, "notnet", "/", None, "allow"), (11, "b:", "//c/d", None, "allow"),
+        (12, "a\n.b.net", "/x", "net/", "block"),
     ]
     assert urls.judge(rows.limit(0), URL_RULES).count() == 0
 
@@ -425,6 +428,18 @@ def test_large_products_are_exact():
     assert topk.product(q, m).tolist() == [[2**60 + 3, 2**60 + 2**40]]
 
 
+def test_any_finite_component_has_a_result(spark):
+    big = [[1e18, -3.0], [1e307, 1.0], [-1e200, 5.0], [2.0**40, 3.0], [0.5, 2.0**50]]
+    rows = spark.createDataFrame([(20 * i, v) for i, v in enumerate(big)], "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(rows, F.col("vec_id") % 20 == 0).collect()}
+    whole = {20 * i: [int(np.floor(64 * x)) for x in v] for i, v in enumerate(big) if np.isfinite(64 * np.array(v)).all()}
+    want = {(a, b): max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole[a], whole[b])))) for a in whole for b in whole if a != b}
+    assert got == want and len(whole) == 4
+    assert topk.search(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    twice = rows.unionByName(rows)
+    assert topk.search(twice, F.col("vec_id") == 60).filter("vec_id = 60").count() == 1  # a repeated row is a candidate once
+
+
 def test_mix(spark):
     rng = random.Random(10)
     sources = [rng.choice(["a", "b", "c", "d"]) for _ in range(3000)]

@@ -39,8 +39,8 @@ def sanitized(bars: DataFrame, arrival: str = "arrival") -> DataFrame:
     return with_validity(keep_last(whole, arrival)).filter("is_valid").drop("is_valid")
 
 
-def last_n(bars: DataFrame, limit: int = LIMIT) -> DataFrame:
-    latest = Window.partitionBy(*GROUP).orderBy(F.col("ts").desc())
+def last_n(bars: DataFrame, limit: int = LIMIT, order: str = "ts") -> DataFrame:
+    latest = Window.partitionBy(*GROUP).orderBy(F.col(order).desc())
     return bars.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= limit).drop("place")
 
 
@@ -50,6 +50,15 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_idx", F.row_number().over(group.orderBy("ts")) - 1).withColumn("n_bars", F.count("*").over(group).cast("int"))
 
 
-def prepared(bars: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """What the operators work on: the last `limit` valid bars of each (symbol, tf), numbered."""
-    return numbered(last_n(with_validity(bars).filter("is_valid").drop("is_valid"), limit))
+def prepared(bars: DataFrame, limit: int = LIMIT, arrival: str = "arrival") -> DataFrame:
+    """What the operators work on: of each (symbol, tf) the last `limit` valid bars by arrival, then the last of each start, numbered.
+
+    Bars without a column of that name arrive in order of their start; repeated
+    starts then have no order of their own, and the one with the greatest
+    values stays.
+    """
+    valid_bars = with_validity(bars).filter("is_valid").drop("is_valid")
+    if arrival in bars.columns:
+        return numbered(sanitized(last_n(valid_bars, limit, arrival), arrival).drop(arrival))
+    latest = last_n(valid_bars.withColumn("its_order", F.struct("ts", *(F.col(c) for c in ("open", "high", "low", "close", "volume") if c in bars.columns))), limit, "its_order")
+    return numbered(sanitized(latest, "its_order").drop("its_order"))

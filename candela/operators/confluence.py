@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.schema import CONFLUENCE_THRESHOLDS, TF_LAMBDA, TF_WEIGHT, UI_CONFLUENCE_THRESHOLD, by_tf, severity, status_of
+from candela.functions.scores import half_even
+from candela.schema import CONFLUENCE_THRESHOLDS, TF_LAMBDA, TF_WEIGHT, UI_CONFLUENCE_THRESHOLD, by_tf, severity, status_of, with_profile
 
 
-def threshold(symbol: Column) -> Column:
-    return by_tf(CONFLUENCE_THRESHOLDS, UI_CONFLUENCE_THRESHOLD, symbol)
+def threshold(own: float | None = UI_CONFLUENCE_THRESHOLD, symbol: str = "symbol") -> Column:
+    """Percent: the symbol's own where it has one, else the user's; without a user's value (own is None) the profile's, from its columns."""
+    if own is None:
+        return F.col("confluence_threshold_pct")
+    return by_tf(CONFLUENCE_THRESHOLDS, float(own), symbol)
 
 
-def islands(zones: DataFrame) -> DataFrame:
+def with_threshold(zones: DataFrame, own: float | None = UI_CONFLUENCE_THRESHOLD) -> DataFrame:
+    rows = zones if own is not None else with_profile(zones)
+    return rows.withColumn("threshold", threshold(own)).select(*zones.columns, "threshold")
+
+
+def islands(zones: DataFrame, own: float | None = UI_CONFLUENCE_THRESHOLD) -> DataFrame:
     """zones with island: levels of a symbol whose neighbours are no farther apart than its threshold, in percent of the lower.
 
     Linking every pair within the threshold gives the same groups, as a linked
@@ -20,8 +29,9 @@ def islands(zones: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("symbol").orderBy("level", "tf", "side", "age_bars")
     before = F.lag("level").over(order)
-    gap = F.when(before.isNull() | ~(before > 0), F.lit(1)).when((F.col("level") - before) / before * 100 > threshold(F.col("symbol")), 1).otherwise(0)
-    return zones.filter("status <> 'Consommee'").withColumn("gap", gap).withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("gap")
+    gap = F.when(before.isNull() | ~(before > 0), F.lit(1)).when((F.col("level") - before) / before * 100 > F.col("threshold"), 1).otherwise(0)
+    rows = with_threshold(zones.filter("status <> 'Consommee'"), own)
+    return rows.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("gap", "threshold")
 
 
 def kept_islands(rows: DataFrame) -> DataFrame:
@@ -56,12 +66,26 @@ def scored(rows: DataFrame) -> DataFrame:
     return groups.select("symbol", "island", signal.alias("signal"), "level", "type", "timeframes", "n_tf", "force", "score", status_of(F.col("severity")).alias("status"), "dist_pct", alert.alias("alert"))
 
 
-def confluences(zones: DataFrame) -> DataFrame:
-    return scored(nearest(kept_islands(islands(zones))))
+def confluences(zones: DataFrame, own: float | None = UI_CONFLUENCE_THRESHOLD) -> DataFrame:
+    return scored(nearest(kept_islands(islands(zones, own))))
+
+
+def as_number(value: str, otherwise: float) -> Column:
+    """What may come as text, with a percent sign; what can't be read is otherwise."""
+    return F.coalesce(F.expr(f"try_cast(replace(cast({value} as string), '%', '') as double)"), F.lit(otherwise))
+
+
+def stored_values(rows: DataFrame) -> DataFrame:
+    """Confluences as readers get them: scores of one decimal, distances of three, levels of five."""
+    return rows.withColumns({name: half_even(F.col(name), digits) for name, digits in (("score", 1), ("dist_pct", 3), ("level", 5)) if dict(rows.dtypes).get(name) == "double"})
 
 
 def filtered(rows: DataFrame, max_dist: float, min_score: float, statuses=("Vierge", "Testee", "Role Reverse")) -> DataFrame:
-    """Distances and scores may come as text; what can't be read counts as far away and worthless."""
-    dist = F.coalesce(F.expr("try_cast(replace(cast(dist_pct as string), '%', '') as double)"), F.lit(999999.0))
-    score = F.coalesce(F.expr("try_cast(score as double)"), F.lit(0.0))
-    return rows.filter((dist <= max_dist) & (score >= min_score) & F.col("status").isin(list(statuses)))
+    """By the values that readers get. Distances and scores may come as text; what can't be read counts as far away and worthless."""
+    rows = stored_values(rows)
+    return rows.filter((as_number("dist_pct", 999999.0) <= max_dist) & (as_number("score", 0.0) >= min_score) & F.col("status").isin(list(statuses)))
+
+
+def by_score(rows: DataFrame, max_dist: float) -> DataFrame:
+    """Those near enough, the highest score first."""
+    return rows.filter(as_number("dist_pct", 999999.0) <= max_dist).orderBy(F.col("score").desc(), "symbol", "level")

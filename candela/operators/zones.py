@@ -95,32 +95,33 @@ def with_status(zones: DataFrame, bars: DataFrame) -> DataFrame:
     return stages(zones, bars).withColumn("status", status).select(*ZONE)
 
 
-def merged(zones: DataFrame, context: DataFrame) -> DataFrame:
-    """Adjacent zones of one type joined.
+def merged(zones: DataFrame, context: DataFrame, across: bool = False) -> DataFrame:
+    """Adjacent zones of one type joined; across: of all types, where two major zones of different types make a Pivot.
 
     Each zone is compared with the merged zone before it, whose level has
     drifted to the mean by strength; so this is a fold over the side's zones.
     """
-    fields = ["level", "age_bars", "strength", "severity", "prominence", "prominence_atr", "is_major"]
-    side = [*GROUP, "zone_type"]
+    fields = ["level", "zone_type", "age_bars", "strength", "severity", "prominence", "prominence_atr", "is_major"]
+    side = [*GROUP] if across else [*GROUP, "zone_type"]
     rows = zones.filter("status <> 'Consommee'").withColumn("severity", severity(F.col("status")))
-    rows = rows.groupBy(*side).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+    rows = rows.groupBy(*side).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all")).drop("zone_type")
     rows = rows.join(context.select(*GROUP, F.least(F.col("atr") * F.col("merge_threshold_atr"), F.col("price") * 0.0075).alias("reach")), list(GROUP))
 
     def step(done: Column, z: Column, reach: Column) -> Column:
         p = F.try_element_at(done, F.lit(-1))
         weight = lambda x: F.greatest(x["strength"], F.lit(1))
         strength = weight(p) + weight(z)
+        same = p["zone_type"] == z["zone_type"]
         both = F.struct(
-            ((p["level"] * weight(p) + z["level"] * weight(z)) / strength).alias("level"), F.least(p["age_bars"], z["age_bars"]).alias("age_bars"), strength.alias("strength"), F.greatest(p["severity"], z["severity"]).alias("severity"),
+            ((p["level"] * weight(p) + z["level"] * weight(z)) / strength).alias("level"), F.when(same, p["zone_type"]).otherwise("Pivot").alias("zone_type"), F.least(p["age_bars"], z["age_bars"]).alias("age_bars"), strength.alias("strength"), F.greatest(p["severity"], z["severity"]).alias("severity"),
             F.greatest(p["prominence"], z["prominence"]).alias("prominence"), F.greatest(F.coalesce(p["prominence_atr"], F.lit(0.0)), F.coalesce(z["prominence_atr"], F.lit(0.0))).alias("prominence_atr"), (p["is_major"] | z["is_major"]).alias("is_major"),
         )
-        apart = ~((reach > 0) & (F.abs(z["level"] - p["level"]) <= reach))
-        return F.when((F.size(done) == 0) | apart, F.concat(done, F.array(z))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both)))
+        close = (reach > 0) & (F.abs(z["level"] - p["level"]) <= reach) & (same | (p["is_major"] & z["is_major"]))
+        return F.when((F.size(done) == 0) | ~close, F.concat(done, F.array(z))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both)))
 
     empty = F.slice("all", 1, 0)
     out = rows.withColumn("z", F.explode(F.aggregate("all", empty, lambda done, z: step(done, z, F.col("reach")))))
-    return out.select(*side, "z.level", "z.strength", "z.age_bars", status_of(F.col("z.severity")).alias("status"), "z.prominence", "z.prominence_atr", "z.is_major")
+    return out.select(*GROUP, "z.zone_type", "z.level", "z.strength", "z.age_bars", status_of(F.col("z.severity")).alias("status"), "z.prominence", "z.prominence_atr", "z.is_major")
 
 
 def reclassified(zones: DataFrame, price: str = "price") -> DataFrame:

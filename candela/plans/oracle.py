@@ -22,8 +22,16 @@ def q(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
+def half_even(x: str, digits: int) -> str:
+    """A column rounded by its exact binary value: its product with the scale is taken in two exact halves."""
+    k, head, scale = f"round_even({x} * 1e{digits}, 0)", f"({x} * 134217729.0::double - ({x} * 134217729.0::double - {x}))", f"2e{digits}"
+    beyond = lambda middle: f"(({head} * {scale} - ({middle})) + ({x} - {head}) * {scale})"
+    above, below, odd = beyond(f"2 * {k} + 1"), beyond(f"2 * {k} - 1"), f"abs({k}) % 2 = 1"
+    return f"(case when {above} > 0 or ({above} = 0 and {odd}) then {k} + 1 when {below} < 0 or ({below} = 0 and {odd}) then {k} - 1 else {k} end / 1e{digits})"
+
+
 PROFILE_COLUMNS = (
-    "profile_key, asset_class, pip_value, cluster_radius_atr, merge_threshold_atr, pivot_prominence_atr, dev_threshold_pct, skip_ratio_check, wick_intraday, wick_htf,"
+    "profile_key, asset_class, cluster_radius_atr, merge_threshold_atr, pivot_prominence_atr, skip_ratio_check, wick_intraday, wick_htf,"
     " confluence_threshold_pct, max_live_vs_close_pct, pdf_max_dist_pct, price_min, price_max, min_touches_h4, min_touches_daily, min_touches_weekly, ignore_wick_filter,"
     " major_pivot_mult, max_high_low_ratio, max_cluster_width_pct"
 )
@@ -265,7 +273,7 @@ ZONE_KEYS = "symbol, tf, zone_type"
 
 
 def picked(max_dist: float, min_score: float) -> str:
-    return f"(select * from confluences_ where dist_pct <= {max_dist} and score >= {min_score} and status in ('Vierge', 'Testee', 'Role Reverse'))"
+    return f"(select * from (select * replace ({half_even('score', 1)} as score, {half_even('dist_pct', 3)} as dist_pct, {half_even('level', 5)} as level) from confluences_) where dist_pct <= {max_dist} and score >= {min_score} and status in ('Vierge', 'Testee', 'Role Reverse'))"
 
 
 def level_sql(name: str) -> str:
@@ -380,7 +388,7 @@ from (select symbol, unnest({list(TIMEFRAMES)}) as tf from symbols) s left join
         "arg_max(close, start) from", "arg_max(close, start), sum(volume) from").replace("high, low, close from h4", "high, low, close, volume from h4") + f"""
 select symbol, tf, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {q('close')} as close, volume::bigint as volume from (
   select *, row_number() over (partition by symbol, tf order by ts) - 1 as bar_idx from bars) where bar_idx % 5 <> 0
-qualify row_number() over (partition by symbol, tf order by bar_idx desc) <= 50""",
+qualify row_number() over (partition by symbol, tf order by bar_idx desc) <= 500""",
     "quote_payloads": """select n_name as symbol, case when n_nationkey > 0 and n_nationkey % 7 <> 0 then (n_nationkey + n_nationkey + 1) / 2.0 end as price,
   case when n_nationkey > 0 and n_nationkey % 7 <> 0 then case when n_nationkey % 3 = 0 or n_nationkey % 2 = 0 then 'live' else 'stale' end end as source from nation""",
     "cache_freshness": """select id, (id * 37) % 700 <= case when id % 5 = 0 then 20 else [60, 300, 600, 300][id % 4 + 1] end as fresh from range(400) r(id)""",
@@ -388,6 +396,20 @@ qualify row_number() over (partition by symbol, tf order by bar_idx desc) <= 50"
 union all select symbol, 'Symbole manquant dans les resultats' from symbols where symbol not in (select symbol from trends)"""),
     "confluence_thresholds": chain(f"select symbol, {case('symbol', CONFLUENCE_THRESHOLDS, UI_CONFLUENCE_THRESHOLD)} as threshold from symbols"),
     "report_lines": "",
+    "scan_sanitized": f"""with b as ({ORDER_BARS}), latest as (select * from b where {VALID} qualify row_number() over (partition by symbol order by arrival desc) <= 500),
+kept as (select * from latest qualify row_number() over (partition by symbol, ts order by arrival desc) = 1)
+select symbol, 'Daily' as tf, (row_number() over (partition by symbol order by ts) - 1)::int as bar_idx, (count(*) over (partition by symbol))::int as n_bars, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {q('close')} as close from kept""",
+    "confluences_user_threshold": chain(f"select {CONF_Q} from confluences_").replace(case("symbol", CONFLUENCE_THRESHOLDS, UI_CONFLUENCE_THRESHOLD), case("symbol", CONFLUENCE_THRESHOLDS, 0.3)),
+    "confluences_profile_threshold": chain(f"select {CONF_Q} from confluences_").replace(case("symbol", CONFLUENCE_THRESHOLDS, UI_CONFLUENCE_THRESHOLD), "1.0"),
+    "filter_rounded": chain(f"select symbol, island, {half_even('score', 1)} as score, {half_even('dist_pct', 3)} as dist_pct, {half_even('level', 5)} as level from confluences_"),
+    "json_document": chain(f"""select symbol, (row_number() over (order by symbol) - 1)::int as place, {half_even('current_price', 5)} as current_price, current_price_source, case when n is null then 'none_detected' else 'found' end as zones_scan_status, coalesce(n, 0)::int as n_zones, force,
+  (select coalesce(string_agg(symbol, ',' order by symbol), '') from summaries where symbol not in (select symbol from {picked(5.0, 20.0)})) as assets_with_no_zones
+from summaries left join (select symbol, count(*) as n, sum(force)::bigint as force from {picked(5.0, 20.0)} group by symbol) z using (symbol)"""),
+    "brief_document": chain(f"""select 1 as part, '# BRIEF S/R' || chr(10) || '_Genere le 01/02/2024 00:00_' || chr(10) || chr(10) || coalesce((select string_agg(body, chr(10) order by place) from (
+  select list_position({{names}}, symbol) as place, '### ' || symbol || chr(10) || string_agg(printf('- %s `%.5f` | Sc:%.1f | %s | %.3f | %s', signal, level, score, status, dist_pct, timeframes), chr(10) order by island) || chr(10) as body
+  from {picked(5.0, 10.0)} group by symbol)), '') as brief""").replace("{names}", "['EUR_USD', 'USD_JPY', 'XAU_USD', 'GBP_USD', 'NAS100_USD']"),
+    "report_confluences": chain(f"""select (row_number() over (order by score desc, symbol, level))::int as place, symbol, {q('level')} as level, {q('score')} as score, {q('dist_pct')} as dist_pct
+from (select * replace ({half_even('score', 1)} as score, {half_even('dist_pct', 3)} as dist_pct, {half_even('level', 5)} as level) from confluences_) where dist_pct <= 3.0"""),
 }
 CELLS = " || ' ' || ".join(f"rpad(case when length({c}) > 14 then substr({c}, 1, 13) || '.' else {c} end, 14, ' ')" for c in ("symbol", "price_text", "type", "level_text", "force", "status", "dist", "dist_atr"))
 SQL["report_lines"] = SQL["display_rows"].rsplit("\nselect replace", 1)[0] + f""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.functions import hashes
@@ -379,7 +379,7 @@ def candle_payloads(spark, sf_dir):
     mid = F.struct(*(F.col(c).cast("string").alias(c[0]) for c in ("open", "high", "low", "close")))
     candle = F.struct("bar_idx", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), (F.col("bar_idx") % 5 != 0).alias("complete"), "volume", mid.alias("mid"))
     bodies = rows.groupBy("symbol", "tf").agg(F.to_json(F.struct(F.array_sort(F.collect_list(candle)).alias("candles"))).alias("payload"))
-    return payloads.candles(bodies, 50).select("symbol", "tf", "ts", "close", "volume")
+    return payloads.candles(bodies).select("symbol", "tf", "ts", "close", "volume")
 
 
 @query
@@ -404,9 +404,52 @@ def coverage_patched(s):
 
 @on_fixture
 def confluence_thresholds(s):
-    return s.symbols.select("symbol", confluence.threshold(F.col("symbol")).alias("threshold"))
+    return s.symbols.select("symbol", confluence.threshold().alias("threshold"))
 
 
 @on_fixture
 def report_lines(s):
     return exports.sections(s.rows, s.anomalies)
+
+
+@query
+def scan_sanitized(spark, sf_dir):
+    """What a scan makes of bars that come several times for one start, with faulty ones among them."""
+    return bar_ops.prepared(order_bars(spark, sf_dir)).select("symbol", "tf", "bar_idx", "n_bars", "ts", "close")
+
+
+@on_fixture
+def confluences_user_threshold(s):
+    return confluence.confluences(s.zones, 0.3)
+
+
+@on_fixture
+def confluences_profile_threshold(s):
+    return confluence.confluences(s.zones, None)
+
+
+@on_fixture
+def filter_rounded(s):
+    return confluence.stored_values(s.confluences).select("symbol", "island", "score", "dist_pct", "level")
+
+
+@on_fixture
+def json_document(s):
+    """The document, read again."""
+    body = exports.json_document(s.summary, confluence.filtered(s.confluences, 5.0, 20.0), "2024-01-02T00:00:00Z")
+    kind = "assets array<struct<symbol: string, current_price: double, current_price_source: string, zones_scan_status: string, zones: array<struct<force: bigint>>>>, diagnostics struct<assets_with_no_zones: array<string>>"
+    read = body.select(F.from_json("document", kind).alias("d"))
+    rows = read.select(F.posexplode("d.assets").alias("place", "a"), F.array_join("d.diagnostics.assets_with_no_zones", ",").alias("assets_with_no_zones"))
+    force = F.when(F.size("a.zones") > 0, F.aggregate("a.zones.force", F.lit(0).cast("bigint"), lambda x, y: x + y))
+    return rows.select("a.symbol", "place", "a.current_price", "a.current_price_source", "a.zones_scan_status", F.size("a.zones").alias("n_zones"), force.alias("force"), "assets_with_no_zones")
+
+
+@on_fixture
+def brief_document(s):
+    return exports.brief_document(confluence.filtered(s.confluences, 5.0, 10.0), "01/02/2024 00:00", list(REQUESTED)).select(F.lit(1).alias("part"), "brief")
+
+
+@on_fixture
+def report_confluences(s):
+    near = confluence.by_score(confluence.stored_values(s.confluences), 3.0)
+    return near.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "symbol", "level")).alias("place"), "symbol", "level", "score", "dist_pct")

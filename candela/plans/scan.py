@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
 from candela.operators import bars as bar_ops
-from candela.schema import TIMEFRAMES, UI_MIN_TOUCHES, with_profile
+from candela.schema import TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES, with_profile
 from candela.storage import written
 
 GROUP = ["symbol", "tf"]
@@ -35,6 +35,7 @@ class Scan:
     quotes: DataFrame
     symbols: DataFrame
     own_min_touches: int = UI_MIN_TOUCHES
+    own_threshold: float | None = UI_CONFLUENCE_THRESHOLD
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -83,7 +84,7 @@ class Scan:
 
     @cached_property
     def confluences(self) -> DataFrame:
-        return confluence.confluences(self.zones)
+        return confluence.confluences(self.zones, self.own_threshold)
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -129,7 +130,7 @@ class Scan:
         return grouped.filter("not (level = 0 and tf is null)")
 
 
-def scan(bars: DataFrame, quotes: DataFrame, symbols: DataFrame, own_min_touches: int = UI_MIN_TOUCHES) -> dict[str, DataFrame]:
-    """The tables that a scan gives."""
-    s = Scan(bars, quotes, symbols, own_min_touches)
+def scan(bars: DataFrame, quotes: DataFrame, symbols: DataFrame, own_min_touches: int = UI_MIN_TOUCHES, own_threshold: float | None = UI_CONFLUENCE_THRESHOLD) -> dict[str, DataFrame]:
+    """The tables that a scan gives. own_threshold: percent between zones of a confluence; None takes each profile's."""
+    s = Scan(bars, quotes, symbols, own_min_touches, own_threshold)
     return {"zones": s.zones, "confluences": s.confluences, "rows": s.rows, "summary": s.summary, "anomalies": s.anomalies, "results": s.results()}

@@ -20,31 +20,32 @@ CORRUPTION_FACTOR = 10.0
 FOREX_BASES = ("EUR", "GBP", "AUD", "NZD", "CAD", "CHF", "USD")
 
 PROFILE = (
-    "profile_key string, asset_class string, pip_value double, cluster_radius_atr double, merge_threshold_atr double, pivot_prominence_atr double,"
-    " dev_threshold_pct double, skip_ratio_check boolean, wick_intraday double, wick_htf double, confluence_threshold_pct double,"
+    "profile_key string, asset_class string, cluster_radius_atr double, merge_threshold_atr double, pivot_prominence_atr double,"
+    " skip_ratio_check boolean, wick_intraday double, wick_htf double, confluence_threshold_pct double,"
     " max_live_vs_close_pct double, pdf_max_dist_pct double, price_min double, price_max double, min_touches_h4 int, min_touches_daily int,"
     " min_touches_weekly int, ignore_wick_filter boolean, major_pivot_mult double, max_high_low_ratio double, max_cluster_width_pct double"
 )
 
 
-def _profile(key, kind, pip, cluster, merge, prominence, dev, skip, low=None, high=None, touches=(2, 2, 2), wickless=False, major=3.0, ratio=1.8, width=1.0):
-    return (key, kind, pip, cluster, merge, prominence, dev, skip, 0.20, 0.30, 1.0, 5.0, 5.0, low, high, *touches, wickless, major, ratio, width)
+def _profile(key, kind, cluster, merge, prominence, skip, low=None, high=None, touches=(2, 2, 2), wickless=False, major=3.0, ratio=1.8, width=1.0):
+    return (key, kind, cluster, merge, prominence, skip, 0.20, 0.30, 1.0, 5.0, 5.0, low, high, *touches, wickless, major, ratio, width)
 
 
 _FREE = {"touches": (1, 2, 2), "wickless": True, "major": 0.5, "ratio": 2.5, "width": 1.5}
 _YEN = {"touches": (1, 1, 1), "wickless": True, "major": 0.5}
+# Calibrations of instruments.
 PROFILES = [
-    _profile("EUR_USD", "FOREX", 0.0001, 1.2, 0.8, 0.6, 1.5, False),
-    _profile("GBP_USD", "FOREX", 0.0001, 1.3, 0.85, 0.65, 1.5, False, touches=(2, 2, 1)),
-    _profile("USD_JPY", "FOREX", 0.01, 0.9, 0.5, 0.2, 1.5, False, **_YEN),
-    _profile("XAU_USD", "METAL", 0.01, 2.5, 1.5, 0.3, 3.0, True, 1500.0, 8000.0, **_FREE),
-    _profile("US30_USD", "INDEX", 1.0, 2.5, 1.5, 0.4, 2.5, True, 25000.0, 60000.0, **_FREE),
-    _profile("NAS100_USD", "INDEX", 1.0, 2.5, 1.5, 0.4, 2.5, True, 10000.0, 50000.0, **_FREE),
-    _profile("SPX500_USD", "INDEX", 0.1, 2.2, 1.2, 0.35, 2.0, True, 3000.0, 12000.0, **_FREE),
-    _profile("DE30_EUR", "INDEX", 0.1, 2.2, 1.2, 0.35, 2.0, True, 10000.0, 30000.0, **_FREE),
-    _profile("*JPY", "FOREX", 0.01, 0.9, 0.5, 0.2, 1.5, False, **_YEN),
-    _profile("*BASE", "FOREX", 0.0001, 1.2, 0.8, 0.5, 1.5, False),
-    _profile("DEFAULT", "FOREX", 0.0001, 1.2, 0.8, 0.6, 1.5, False),
+    _profile("EUR_USD", "FOREX", 1.2, 0.8, 0.6, False),
+    _profile("GBP_USD", "FOREX", 1.3, 0.85, 0.65, False, touches=(2, 2, 1)),
+    _profile("USD_JPY", "FOREX", 0.9, 0.5, 0.2, False, **_YEN),
+    _profile("XAU_USD", "METAL", 2.5, 1.5, 0.3, True, 1500.0, 8000.0, **_FREE),
+    _profile("US30_USD", "INDEX", 2.5, 1.5, 0.4, True, 25000.0, 60000.0, **_FREE),
+    _profile("NAS100_USD", "INDEX", 2.5, 1.5, 0.4, True, 10000.0, 50000.0, **_FREE),
+    _profile("SPX500_USD", "INDEX", 2.2, 1.2, 0.35, True, 3000.0, 12000.0, **_FREE),
+    _profile("DE30_EUR", "INDEX", 2.2, 1.2, 0.35, True, 10000.0, 30000.0, **_FREE),
+    _profile("*JPY", "FOREX", 0.9, 0.5, 0.2, False, **_YEN),
+    _profile("*BASE", "FOREX", 1.2, 0.8, 0.5, False),
+    _profile("DEFAULT", "FOREX", 1.2, 0.8, 0.6, False),
 ]
 
 

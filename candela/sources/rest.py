@@ -35,6 +35,14 @@ def fetch(url: str, token: str, timeout: float = 10.0, retries: int = 3, wait: f
     return None
 
 
+def first_host(hosts: list[str], account: str, token: str, **kw) -> str | None:
+    """The first host that knows the account; None if none does."""
+    for host in hosts:
+        if fetch(f"{host}/accounts/{account}/summary", token, timeout=5.0, retries=1, **kw) is not None:
+            return host
+    return None
+
+
 class Frame(InputPartition):
     def __init__(self, symbol: str, tf: str):
         self.symbol, self.tf = symbol, tf
@@ -65,3 +73,35 @@ class CandleSource(DataSource):
 
     def reader(self, schema) -> CandleReader:
         return CandleReader(dict(self.options))
+
+
+class Symbol(InputPartition):
+    def __init__(self, symbol: str):
+        self.symbol = symbol
+
+
+class QuoteReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[Symbol]:
+        return [Symbol(s.strip()) for s in self.options["symbols"].split(",")]
+
+    def read(self, partition: Symbol):
+        """A row for each symbol; its payload is null if the request failed."""
+        url = f"{self.options['url']}/accounts/{self.options['account']}/pricing?instruments={partition.symbol}"
+        yield partition.symbol, fetch(url, self.options.get("token", ""), timeout=5.0)
+
+
+class QuoteSource(DataSource):
+    """Quote payloads, a partition for each symbol; payloads.quotes() reads them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quotes_rest"
+
+    def schema(self) -> str:
+        return "symbol string, payload string"
+
+    def reader(self, schema) -> QuoteReader:
+        return QuoteReader(dict(self.options))

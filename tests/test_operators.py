@@ -233,3 +233,60 @@ def test_context_text(spark):
 def test_decay_weight(spark):
     got = [r["w"] for r in spark.range(3).select(scores.decay_weight(F.col("id"), F.lit(3)).alias("w")).collect()]
     assert got == [pytest.approx(x) for x in (0.35, 0.675, 1.0)]
+
+
+def test_scan_takes_the_last_of_equal_starts(spark):
+    rows = frame(spark, [(1, 1.1, 1, 1 + i / 1000) for i in range(30)])
+    again = rows.filter("arrival < 5").withColumn("close", F.lit(1.09)).withColumn("arrival", F.col("arrival") + 100)
+    got = bars.prepared(rows.unionByName(again)).orderBy("bar_idx").collect()
+    assert len(got) == 30 and got[0]["n_bars"] == 30 and [r["close"] for r in got[:6]] == [1.09] * 5 + [1.005]
+    assert bars.prepared(rows.unionByName(again).drop("arrival")).count() == 30
+
+
+def test_rounding_follows_the_binary_value(spark):
+    values = [2.675, 0.285, 0.25, 0.35, 0.125, 56.96, -2.675, 0.05, 1234567.125] + [random.Random(6).uniform(-300, 300) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 3, 5):
+        assert all(r["y"] == round(r["x"], digits) for r in rows.select("x", scores.half_even(F.col("x"), digits).alias("y")).collect())
+    kept = confluence.filtered(spark.createDataFrame([(56.96, 1.0, 1.0, "Vierge")], "score double, dist_pct double, level double, status string"), 2.0, 57.0)
+    assert kept.count() == 1  # 57.0 for its readers
+
+
+def test_majors_of_different_types_merge_to_a_pivot(spark):
+    columns = "symbol string, tf string, zone_type string, level double, strength int, age_bars int, status string, prominence double, prominence_atr double, is_major boolean"
+    rows = [("EUR_USD", "Daily", t, v, 1, 5, "Vierge", 1.0, 1.0, m) for t, v, m in (("Support", 90.0, True), ("Resistance", 90.2, True), ("Support", 95.0, False), ("Resistance", 95.1, True))]
+    got = zones.merged(spark.createDataFrame(rows, columns), context(spark), across=True).orderBy("level").collect()
+    assert [(r["zone_type"], r["strength"]) for r in got] == [("Pivot", 2), ("Support", 1), ("Resistance", 1)]
+
+
+def test_first_host_and_quotes():
+    import io
+    import urllib.error
+
+    def opener(request, timeout):
+        if "a.example" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 401, "", {}, io.BytesIO())
+        return io.BytesIO(b'{"prices": []}')
+
+    assert rest.first_host(["http://a.example", "http://b.example"], "1", "t", opener=opener) == "http://b.example"
+    assert rest.first_host(["http://a.example"], "1", "t", opener=opener) is None
+    reader = rest.QuoteReader({"symbols": "EUR_USD, XAU_USD", "url": "http://127.0.0.1:9", "account": "1"})
+    assert [p.symbol for p in reader.partitions()] == ["EUR_USD", "XAU_USD"]
+
+
+def test_cached_frames_go_by_age_number_and_size(spark):
+    from candela.storage import FrameCache
+
+    now, made = [0.0], []
+    cache = FrameCache(max_entries=2, clock=lambda: now[0])
+    make = lambda n: lambda: (made.append(n), spark.range(n))[1]
+    cache.get(("a",), "H4", make(3))
+    cache.get(("a",), "H4", make(3))
+    cache.get(("b",), "Daily", make(0))
+    assert made == [3, 0] and len(cache.frames) == 2
+    now[0] = 30.0
+    cache.get(("c",), "Weekly", make(1))
+    assert list(cache.frames) == [("a",), ("c",)]  # an empty frame lives 20 seconds
+    now[0] = 61.0
+    cache.evict()
+    assert list(cache.frames) == [("c",)] and cache.clear() == 1 and cache.size == 0

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from candela.llm.common import appended, held, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
-TRAIN_ROWS, PARTS = 10_000, 8
+TRAIN_ROWS, PARTS = 10_000, 4
 #: n-gram lengths; places that n-grams are hashed to.
 LENGTHS, SPACE = (4, 5, 6), 1 << 20
 #: Texts that smooth a feature's shares; weight of the penalty.

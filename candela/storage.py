@@ -79,7 +79,7 @@ class FrameCache:
             return self.frames[key][3]
         frame = make().persist()
         empty = frame.isEmpty()
-        size = 64 if empty else int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+        size = 64 if empty else int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         self.frames[key] = (self.clock(), time_to_live(tf, empty), size, frame)
         self.evict()
         return frame

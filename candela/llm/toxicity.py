@@ -9,10 +9,11 @@ values. The fit uses at most TRAIN_ROWS
 labelled rows, chosen by a hash of their id, one text for each id, and all
 features that occur in them; every text is scored.
 
-N-grams are counted, and loss and gradient summed up, by Spark over the sample's
-PARTS partitions; the driver takes the steps (limited-memory BFGS). It holds the
-counts, ratios, weights and a few former steps, vectors of SPACE numbers whatever
-the input, and no rows.
+N-grams are counted by Spark over the sample's PARTS partitions. The steps of
+the fit (limited-memory BFGS) are taken in one task, which holds the sample's
+features, four bytes each: some 240 MB for 10,000 texts of 3,400 characters. The
+driver gets counts, ratios and weights, vectors of SPACE numbers whatever the
+input, and no rows.
 
 Defined results: null text counts as empty; an empty text has no feature and
 its score is that of the intercept; rows without a label (or id) are scored but
@@ -130,30 +131,19 @@ def log_ratios(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.nda
     return (np.log((toxic + PRIOR * mix) / n1) - np.log((clean + PRIOR * (1 - mix)) / n0)).astype(np.float32)
 
 
-def loss_and_slope(rows: DataFrame, ratios, weights: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
-    """Logistic loss over the sample with its penalty, and its gradient; the last weight is the intercept. ratios: a broadcast."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, w = ratios.value, shared.value
-        slope, loss = np.zeros(SPACE + 1, np.float32), 0.0
-        for features, toxic in in_order(batches):
-            x = r[features]
-            x = x / (np.sqrt(x @ x) or 1.0)
-            logit = float(x @ w[features] + w[-1])
-            off = share[toxic] * (sigmoid(logit) - toxic)
-            slope[features] += off * x
-            slope[-1] += off
-            loss += share[toxic] * float(np.logaddexp(0.0, -logit if toxic else logit))
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
-
-    found = rows.mapInArrow(run, "loss double, slope binary").collect()  # PARTS vectors of SPACE numbers
-    shared.destroy()
-    slope = RIDGE * weights
+def loss_and_slope(rows: list[tuple[np.ndarray, int]], ratios: np.ndarray, weights: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Logistic loss over the sample with its penalty, and its gradient; the last weight is the intercept."""
+    slope, loss = RIDGE * weights, RIDGE / 2 * float(weights[:-1] @ weights[:-1])
     slope[-1] = 0
-    for row in found:
-        slope += np.frombuffer(row["slope"], np.float32)
-    return sum(row["loss"] for row in found) + RIDGE / 2 * float(weights[:-1] @ weights[:-1]), slope
+    for features, toxic in rows:
+        x = ratios[features]
+        x = x / (np.sqrt(x @ x) or 1.0)
+        logit = float(x @ weights[features] + weights[-1])
+        off = share[toxic] * (sigmoid(logit) - toxic)
+        slope[features] += off * x
+        slope[-1] += off
+        loss += share[toxic] * float(np.logaddexp(0.0, -logit if toxic else logit))
+    return loss, slope
 
 
 def minimised(slope_at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray) -> np.ndarray:
@@ -196,7 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     ratios = log_ratios(clean[:-1], toxic[:-1], n0, n1)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     share = 0.5 / n0, 0.5 / n1  # both kinds count alike
-    weights = minimised(lambda w: loss_and_slope(learned, shared, w, share), np.zeros(SPACE + 1, np.float32))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(features.copy(), toxic) for features, toxic in in_order(batches)]
+        weights = minimised(lambda w: loss_and_slope(own, shared.value, w, share), np.zeros(SPACE + 1, np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
+    weights = np.frombuffer(learned.coalesce(1).mapInArrow(run, "weights binary").first()["weights"], np.float32)
     return Model(ratios, weights[:-1], float(weights[-1]))
 
 

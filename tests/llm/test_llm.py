@@ -216,6 +216,43 @@ def test_toxicity_learns_and_holds_out(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_toxicity_counts_ratios_and_slope_by_plain_loops():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))) for _ in range(20)]
+    marks = [int(rng.random() < 0.4) for _ in texts]
+    scratch = np.zeros(toxicity.SPACE, np.int64)
+    rows = [(np.sort(toxicity.distinct(toxicity.grams(t), scratch)).astype("<i4"), m) for t, m in zip(texts, marks)]
+    assert all(set(f.tolist()) == set(toxicity.grams(t).tolist()) and len(f) == len(set(f.tolist())) for (f, _), t in zip(rows, texts))
+    seen = sorted({f for r, _ in rows for f in r.tolist()})
+    n1, n0 = sum(marks), len(marks) - sum(marks)
+    count = {f: [sum(f in r for r, m in rows if m == kind) for kind in (0, 1)] for f in seen}
+    clean, toxic = np.zeros((2, toxicity.SPACE), np.int32)
+    for f, (a, b) in count.items():
+        clean[f], toxic[f] = a, b
+    ratios = toxicity.log_ratios(clean, toxic, n0, n1)
+    p = n1 / (n0 + n1)
+    for f, (a, b) in count.items():
+        assert ratios[f] == pytest.approx(np.log((b + toxicity.PRIOR * p) / n1 / ((a + toxicity.PRIOR * (1 - p)) / n0)), abs=1e-5)
+    assert abs(ratios[next(i for i in range(toxicity.SPACE) if i not in count)]) < 1e-5
+    weights = np.zeros(toxicity.SPACE + 1, np.float32)
+    weights[seen], weights[-1] = [rng.uniform(-1, 1) for _ in seen], 0.3
+
+    def loss(w):
+        out = toxicity.RIDGE / 2 * sum(float(w[f]) ** 2 for f in seen)
+        for r, m in rows:
+            norm = sum(float(ratios[f]) ** 2 for f in r.tolist()) ** 0.5 or 1.0
+            z = sum(float(ratios[f]) / norm * float(w[f]) for f in r.tolist()) + float(w[-1])
+            out += (0.5 / n0, 0.5 / n1)[m] * np.log1p(np.exp(-z if m else z))
+        return out
+
+    got, slope = toxicity.loss_and_slope(rows, ratios, weights, (0.5 / n0, 0.5 / n1))
+    assert got == pytest.approx(loss(weights), rel=1e-5)
+    for f in (seen[0], seen[len(seen) // 2], -1):
+        up, down = weights.astype(np.float64), weights.astype(np.float64)
+        up[f], down[f] = up[f] + 1e-4, down[f] - 1e-4
+        assert slope[f] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=1e-4)
+
+
 def test_toxicity_of_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd(spark), empty)

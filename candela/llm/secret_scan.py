@@ -48,8 +48,9 @@ BASE = [
 FURTHER = [
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}"),
+    # up to the END line if only header lines and the body come before it, else the BEGIN line
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\\x20\\x09-\\x0D]+[A-Za-z-]+:[^\\n]*){0,4}[A-Za-z0-9+/=\\x20\\x09-\\x0D]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?"),
 ]
 
 Query = frozenset  # of frozensets of trigrams; the empty set of trigrams holds for any text

@@ -431,6 +431,16 @@ def test_secrets(spark):
     assert secret_scan.scan(odd(spark)).count() == 7 and secret_scan.redact(odd(spark)).columns == odd(spark).columns
 
 
+def test_whole_keys_and_signatures_are_masked(spark):
+    body = "\n".join(["MIIEvQ+/aZ09" * 5] * 400)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00FF\r\n\r\n"
+    texts = [f"a {begin}\n{body}\n{end} b", f"a {begin}\r\n{head}{body}=\r\n{end} b", f"a {begin} then prose. {end} b", f"{begin}{begin}\nAB\n{end}", "x eyJhbGciOiJI.eyJzdWIiOiIx.SflK-_w y", "x eyJhbGciOiJI.eyJzdWIiOiIx y"]
+    got = [r["text"] for r in secret_scan.redact(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["a [SECRET] b", "a [SECRET] b", f"a [SECRET] then prose. {end} b", "[SECRET][SECRET]", "x [SECRET] y", "x [SECRET] y"]
+    assert secret_scan.trigram_query(secret_scan.FURTHER[2].regex) >= frozenset() and "beg" in set().union(*secret_scan.trigram_query(secret_scan.FURTHER[2].regex))
+
+
 def test_urls(spark):
     pages = [(1, "HTTP://A.Example.NET/en/x?q"), (2, "http://b.net"), (3, "http://b.net/"), (4, None), (5, "nothing"), (6, "https://www.example.com/de/1#x"), (6, "https://www.example.com/de/1#x"), (7, "http://x.org/fr"), (8, "http://x.org/fr/1"), (9, "http://spam-farm.example.org/en/1"), (10, "http://notnet/"), (11, "a://b://c/d"), (12, "http://a\n.b.net/x")]
     rows = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash"))

@@ -416,6 +416,13 @@ def test_trigram_queries():
     assert of("(?:cat|dogs)x*") == frozenset([frozenset(["cat"]), frozenset(["dog", "ogs"])])
 
 
+def test_postings_equal_containment(spark):
+    trigrams = ["aa-", "a-a", "-a.", "key", "eye", "\u00e9]x", "^\\[", "\U0001f511ab"]
+    texts = ["aa-a-a.", "KEYEye", "\u00e9]X ^\\[", "\U0001f511\U0001f511AB", "ke y\nk\ney", None, "", "k" * 50_000 + "ey"]
+    got = {(r["id"], r["trigram"]) for r in secret_scan.postings(docs(spark, texts), trigrams, "doc_id", "text").collect()}
+    assert got == {(i, t) for i, text in enumerate(texts) for t in trigrams if t in (text or "").lower()}
+
+
 def test_secrets(spark):
     import re
 

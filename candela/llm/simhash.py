@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from candela.llm.common import appended, fresh, held, small, written
 
 RADIUS, WIDTH, SEED, BUCKET = 4, 4, 42, 256
+#: So many tasks may share the members of one group when they get its id.
+SLICES = 32
 #: Vectors of the positions, in order: powers of x modulo x^5 + x^2 + 1, each nonzero vector once.
 VECTORS = [1]
 while len(VECTORS) < (1 << RADIUS + 1) - 1:
@@ -181,8 +183,12 @@ def rooted(marked: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFram
     """(doc_id, bits), (bits, least id) and links between bits -> the rows of groups()."""
     roots = components(edges)
     found = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(found.join(ids, "root").select("bits", "root", "component_id"), "bits").select("doc_id", "bits", "root", "component_id")
+    # members of a group are dealt over SLICES parts of it, its root (or a fingerprint without links) is in part 0
+    found = found.withColumn("slice", F.when(F.col("bits") == F.col("root"), F.lit(0)).otherwise(F.pmod(F.xxhash64("bits"), F.lit(SLICES)).cast("int")))
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    parts = F.when(F.col("size") > 1, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    ids = ids.select("root", "component_id", F.explode(parts).alias("slice"))
+    return marked.join(found.join(ids, ["root", "slice"]).select("bits", "root", "component_id"), "bits").select("doc_id", "bits", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

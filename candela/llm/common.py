@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -68,5 +69,7 @@ def held(owner, make: Callable):
     """Tables that a Python worker keeps between tasks: one operator's at a time, as workers serve all of them in turn."""
     if owner not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[owner] = make()
     return _held[owner]

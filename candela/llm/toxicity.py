@@ -70,6 +70,11 @@ def distinct(features: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     return features[scratch[features] == np.arange(len(features))]
 
 
+def places() -> np.ndarray:
+    """The scratch that a worker keeps; each of this operator's tasks asks for it first, so that other operators' tables go."""
+    return held("toxicity", lambda: np.zeros(SPACE, np.int64))
+
+
 class Model(NamedTuple):
     ratios: np.ndarray  # r of each feature
     weights: np.ndarray
@@ -93,7 +98,7 @@ def vectors(texts: DataFrame) -> DataFrame:
     """(toxic, features): the features of each text once, as 32-bit integers in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scratch = np.zeros(SPACE, np.int64)
+        scratch = places()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -114,6 +119,7 @@ def counts(rows: DataFrame) -> np.ndarray:
     """Two rows, clean and toxic: in how many texts each feature occurs; last column: how many texts there are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places()
         out = np.zeros((2, SPACE + 1), np.int32)
         for features, toxic in in_order(batches):
             out[toxic][features] += 1
@@ -188,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str
     share = 0.5 / n0, 0.5 / n1  # both kinds count alike
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places()
         own = [(features.copy(), toxic) for features, toxic in in_order(batches)]
         weights = minimised(lambda w: loss_and_slope(own, shared.value, w, share), np.zeros(SPACE + 1, np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
@@ -203,7 +210,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def make(batch: pa.RecordBatch) -> list[float]:
         ratios, weights, intercept = shared.value
-        scratch = held("toxicity", lambda: np.zeros(SPACE, np.int64))
+        scratch = places()
         out = []
         for value in batch.column(at):
             features = distinct(grams(value.as_py()), scratch)

@@ -17,8 +17,9 @@ def threshold(own: float | None = UI_CONFLUENCE_THRESHOLD, symbol: str = "symbol
 
 
 def with_threshold(zones: DataFrame, own: float | None = UI_CONFLUENCE_THRESHOLD) -> DataFrame:
-    rows = zones if own is not None else with_profile(zones)
-    return rows.withColumn("threshold", threshold(own)).select(*zones.columns, "threshold")
+    """zones with threshold; zones may hold columns of their profile already, so only the one that is needed is joined."""
+    rows = zones if own is not None else with_profile(zones.drop("confluence_threshold_pct"), ["confluence_threshold_pct"])
+    return rows.withColumn("threshold", threshold(own)).select(*(F.col(c) for c in zones.columns if c in rows.columns), "threshold")
 
 
 def islands(zones: DataFrame, own: float | None = UI_CONFLUENCE_THRESHOLD) -> DataFrame:

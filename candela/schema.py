@@ -65,9 +65,14 @@ def profile_key(symbol: Column) -> Column:
     return F.when(name.isin(exact), name).when(F.get(parts, F.lit(1)) == "JPY", "*JPY").when(F.get(parts, F.lit(0)).isin(list(FOREX_BASES)), "*BASE").otherwise("DEFAULT")
 
 
-def with_profile(df: DataFrame) -> DataFrame:
-    """df (with symbol) and the columns of its profile; profiles are a constant handful of rows."""
-    return df.withColumn("profile_key", profile_key(F.col("symbol"))).join(F.broadcast(profiles(df.sparkSession)), "profile_key")
+def with_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df (with symbol) and the columns of its profile, all (profile_key too) or those that are named; profiles are a constant handful of rows."""
+    known = profiles(df.sparkSession)
+    wanted = known.columns if columns is None else columns
+    if clash := sorted(set(wanted) & set(df.columns)):
+        raise ValueError(f"columns of the profile that the rows have already: {', '.join(clash)}")
+    rows = df.withColumn("its_profile", profile_key(F.col("symbol"))).join(F.broadcast(known.select(F.col("profile_key").alias("its_profile"), *wanted)), "its_profile")
+    return rows.drop("its_profile") if "profile_key" in wanted or columns is not None else rows.withColumnRenamed("its_profile", "profile_key")
 
 
 def by_tf(values: dict, default, tf: Column | str = "tf") -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, suffix_dedup, token_counts, topk, toxicity, urls
+from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, spelling, suffix_dedup, token_counts, topk, toxicity, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -88,6 +88,11 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its spelling form and root."""
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
     "op10_mix": op10_mix,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -106,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": urls.oracle(URL_RULES),
     "op9_top_k": topk.ORACLE,
     "op10_mix": mixing.ORACLE,
+    "op12_spelling_variants": spelling.oracle(),
 }

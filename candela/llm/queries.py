@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, fingerprints, mixing, secret_scan, simhash, spelling, suffix_dedup, token_counts, topk, toxicity, urls
+from candela.llm import alignment, bpe, fingerprints, mixing, secret_scan, simhash, spelling, suffix_dedup, token_counts, topk, toxicity, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -88,6 +88,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of byte-level BPE and sentencepiece tokens, and how common its links are in all documents."""
+    a, b = (open(public_tokenizers.path(name), "rb").read() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.links(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)[1]
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents with its spelling form and root."""
     return spelling.grouped(table(spark, sf_dir, "documents"))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_top_k": op9_top_k,
     "op10_mix": op10_mix,
+    "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
 }
 

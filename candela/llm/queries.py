@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import alignment, bpe, fingerprints, mixing, secret_scan, simhash, spelling, suffix_dedup, token_counts, topk, toxicity, urls
+from candela.llm import alignment, bpe, fingerprints, language_model, mixing, secret_scan, simhash, spelling, suffix_dedup, token_counts, topk, toxicity, urls
 from candela.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -99,6 +99,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's unigram score and its score by the mixed models."""
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
     "op11_token_alignment": op11_token_alignment,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_lm_score": op13_lm_score,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from candela.functions.hashes import TTL, TTL_EMPTY, TTL_OTHER
 from candela.functions.text import ACCENTED, PLAIN, REDACT_PATTERNS, REDACTED, SYMBOL_TAGS
 from candela.schema import CONFLUENCE_THRESHOLDS, FOREX_BASES, PROFILES, STATUSES, TF_LAMBDA, TF_TREND, TF_WEIGHT, TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES
 
@@ -416,3 +417,30 @@ SQL["report_lines"] = SQL["display_rows"].rsplit("\nselect replace", 1)[0] + f""
 shown as (select replace{SQL['display_rows'].rsplit(chr(10) + 'select replace', 1)[1]})
 select 0 as section, printf('[!] %s : %s', symbol, anomaly) as line from ({chain('select symbol, anomaly from anomalies')}) where anomaly is not null and anomaly <> 'Prix STALE (marché fermé)'
 union all select case tf when 'H4' then 1 when 'Daily' then 2 else 3 end, {CELLS} from shown where in_pdf"""
+
+
+def _results(more: str) -> str:
+    """The row of each symbol with its lists; one with an error has nothing else."""
+    per_tf = "select symbol, string_agg(tf || '=' || trend, ',' order by tf) as trends, string_agg(tf || '=' || n_bars, ',' order by tf) as bars_map, list(tf) as tfs from (select symbol, tf, any_value(trend) as trend, any_value(n_bars) as n_bars from trends join atrs using (symbol, tf) group by symbol, tf) group by symbol"
+    missing = f"array_to_string(list_filter({list(TIMEFRAMES)}, lambda x: not list_contains(coalesce(tfs, []), x)), ',')"
+    own = lambda c, name: f"case when scan_error is null then {c} end as {name}"
+    return f"""select symbol, scan_error, {q('current_price')} as current_price, {own(missing, 'missing_tfs')}, {own('bars_map', 'bars_map')}, {more.format(own=own)}
+from summaries left join ({per_tf}) t using (symbol) left join anomalies using (symbol)"""
+
+
+SQL["scan_results"] = chain(_results("current_price_source, case when scan_error is null then price_context end as price_context, case when scan_error is null then anomaly end as anomaly, case when scan_error is null then trends end as trends"))
+#: A frame whose body can't be read has no bars; one symbol has no quote.
+SQL["scan_errors"] = (
+    chain(_results("(select string_agg(tf || '=' || error, ',' order by tf) from (values ('USD_JPY', 'H4', 'not JSON'), ('USD_JPY', 'Daily', 'unreadable candle'), ('USD_JPY', 'Weekly', 'no answer'), ('XAU_USD', 'Weekly', 'unreadable candle')) e(symbol, tf, error) where e.symbol = summaries.symbol) as frame_errors, n_zones, levels")
+    + f" left join (select symbol, count(*) as n_zones, {q('sum(level)')} as levels from zones group by symbol) z using (symbol)")
+    .replace("from long_bars where low > 0", "from long_bars where symbol <> 'USD_JPY' and not (symbol = 'XAU_USD' and tf = 'Weekly') and low > 0")
+    .replace("tf = 'Daily' and symbol in ('EUR_USD', 'USD_JPY')", "tf = 'Daily' and symbol = 'EUR_USD'")
+)
+
+_TTL = case("tf", TTL, TTL_OTHER)
+SQL["stale_frames"] = f"""with log as (select 'U' || (user_id % 40) as symbol, ({list(TIMEFRAMES)})[event_id % 3 + 1] as tf, event_id as fetched_at, case when value < 8 then 0 else 100 end as rows from events),
+latest as (select symbol, tf, max(fetched_at) as fetched_at, arg_max(rows, fetched_at) as rows from log group by symbol, tf),
+requested as (select symbol, unnest({list(TIMEFRAMES)}) as tf from (select distinct symbol from log union all select 'ZZZ_USD'))
+select symbol, tf, case when fetched_at is null then 'never' when rows = 0 then 'empty' else 'old' end as reason from requested left join latest using (symbol, tf)
+where not coalesce((select max(fetched_at) + 3 from log) - fetched_at <= case when rows = 0 then {TTL_EMPTY} else {_TTL} end, false)"""
+SQL["candles_upserted"] = f"select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, arrival, {q('close')} as close from ({ORDER_BARS}) qualify row_number() over (partition by symbol, ts order by arrival desc) = 1"

@@ -14,7 +14,7 @@ from candela.operators import bars as bar_ops
 from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
 from candela.plans.scan import Scan, min_touches
 from candela.schema import TIMEFRAMES, with_profile
-from candela.sources import payloads, ticks
+from candela.sources import payloads, store, ticks
 from candela.storage import written
 
 #: What a scan of the fixture asks for; two have no bars.
@@ -453,3 +453,65 @@ def brief_document(s):
 def report_confluences(s):
     near = confluence.by_score(confluence.stored_values(s.confluences), 3.0)
     return near.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "symbol", "level")).alias("place"), "symbol", "level", "score", "dist_pct")
+
+
+#: Payloads that break on the way: (symbol, time frame) -> what becomes of the body.
+BROKEN = {("USD_JPY", "H4"): "cut", ("USD_JPY", "Daily"): "time", ("USD_JPY", "Weekly"): "lost", ("XAU_USD", "Weekly"): "volume"}
+
+
+def sent(s: Scan) -> Scan:
+    """The fixture as the services would have sent it, some bodies broken; a quote for one symbol only."""
+    text = lambda c: F.col(c).cast("string").alias(c[0])
+    kind = F.lit("")
+    for (symbol, tf), how in BROKEN.items():
+        kind = F.when((F.col("symbol") == symbol) & (F.col("tf") == tf), how).otherwise(kind)
+    last = F.col("bar_idx") == F.col("n_bars") - 1
+    rows = s.bars.withColumn("kind", kind)
+    time = F.when(last & (F.col("kind") == "time"), "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    volume = F.when(last & (F.col("kind") == "volume"), "many").otherwise(F.col("volume").cast("string"))
+    mid = F.struct(*map(text, ("open", "high", "low", "close")))
+    candle = F.struct("bar_idx", time.alias("time"), F.lit(True).alias("complete"), volume.alias("volume"), mid.alias("mid"))
+    bodies = rows.groupBy("symbol", "tf", "kind").agg(F.to_json(F.struct(F.array_sort(F.collect_list(candle)).alias("candles"))).alias("body"))
+    body = F.when(F.col("kind") == "cut", F.substring("body", 1, 100)).when(F.col("kind") == "lost", F.lit(None)).otherwise(F.col("body"))
+    price = F.struct((F.col("price") * 1.0).cast("string").alias("closeoutBid"), F.col("price").cast("string").alias("closeoutAsk"), F.lit(True).alias("tradeable"))
+    quoted = s.quotes.filter("symbol = 'EUR_USD'").select("symbol", F.to_json(F.struct(F.array(price).alias("prices"))).alias("payload"))
+    return Scan.of_payloads(bodies.select("symbol", "tf", body.alias("payload")), quoted, s.symbols)
+
+
+@on_fixture
+def scan_errors(s):
+    """What each symbol's broken payloads cost it, and that the others keep their zones."""
+    s = sent(s)
+    zones = s.zones.groupBy("symbol").agg(F.count("*").alias("n_zones"), F.sum("level").alias("levels"))
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    rows = s.results().join(zones, "symbol", "left")
+    return rows.select("symbol", "scan_error", "current_price", F.array_join("missing_tfs", ",").alias("missing_tfs"), pairs("frame_errors").alias("frame_errors"), pairs("bars_map").alias("bars_map"), "n_zones", "levels")
+
+
+@on_fixture
+def scan_results(s):
+    pairs = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.results().select("symbol", "scan_error", "current_price", "current_price_source", "price_context", "anomaly", F.array_join("missing_tfs", ",").alias("missing_tfs"), pairs("trends").alias("trends"), pairs("bars_map").alias("bars_map"))
+
+
+def fetch_log(spark, sf_dir):
+    """Events as fetches: a frame for each of 40 groups of users and time frame, one fetch a second; a few are empty."""
+    tf = F.element_at(F.array(*map(F.lit, TIMEFRAMES)), (F.col("event_id") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("U"), (F.col("user_id") % 40).cast("string")).alias("symbol"), tf.alias("tf"), F.timestamp_seconds("event_id").alias("fetched_at"), F.when(F.col("value") < 8, 0).otherwise(100).cast("long").alias("rows")
+    )
+
+
+@query
+def stale_frames(spark, sf_dir):
+    """Which frames a scan has to ask for, a while after the last fetch."""
+    log = fetch_log(spark, sf_dir)
+    requested = log.select("symbol").distinct().unionByName(symbols(spark, ["ZZZ_USD"])).withColumn("tf", F.explode(F.array(*map(F.lit, TIMEFRAMES))))
+    now = log.agg((F.max("fetched_at") + F.expr("interval 3 seconds")).alias("now"))
+    return store.stale(requested, log, F.lit(now.first()["now"]))
+
+
+@query
+def candles_upserted(spark, sf_dir):
+    """Of several arrivals for one start the last, whatever it holds."""
+    return store.upserted(order_bars(spark, sf_dir), ("arrival",)).select("symbol", "ts", "arrival", "close")

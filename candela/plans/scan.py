@@ -5,14 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.scores import finite
 from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
 from candela.operators import bars as bar_ops
 from candela.schema import TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES, with_profile
+from candela.sources import payloads
 from candela.storage import written
 
+#: What readers see of numbers that overflow.
+INNER_ERROR = "Erreur interne : ValueError"
 GROUP = ["symbol", "tf"]
 
 
@@ -36,6 +40,13 @@ class Scan:
     symbols: DataFrame
     own_min_touches: int = UI_MIN_TOUCHES
     own_threshold: float | None = UI_CONFLUENCE_THRESHOLD
+    frame_errors: DataFrame | None = None  # (symbol, tf, error): frames that couldn't be read
+
+    @classmethod
+    def of_payloads(cls, candles: DataFrame, quotes: DataFrame, symbols: DataFrame, **kw) -> Scan:
+        """From what the services sent: candles (symbol, tf, payload), quotes (symbol, payload). A body that can't be read costs its own frame only."""
+        rows = written(payloads.parsed(candles))
+        return cls(payloads.usable_candles(rows), payloads.quotes(quotes), symbols, frame_errors=payloads.frame_errors(rows), **kw)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -49,11 +60,19 @@ class Scan:
     def context(self) -> DataFrame:
         """One row for each (symbol, tf): n_bars, last_close, atr, price, the profile and min_touches."""
         rows = indicators.atr(self.bars).join(self.prices.select("symbol", "price", "daily_close", "source", "is_fallback"), "symbol")
+        rows = rows.withColumn("broken", F.max(F.col("atr").isNotNull() & ~finite(F.col("atr"))).over(Window.partitionBy("symbol")))
         return written(with_profile(rows).withColumn("min_touches", min_touches(self.own_min_touches)))
 
     @cached_property
     def usable(self) -> DataFrame:
-        return self.context.filter("atr > 0 and price > 0")
+        return self.context.filter("atr > 0 and price > 0 and not broken").drop("broken")
+
+    @cached_property
+    def symbol_errors(self) -> DataFrame:
+        """(symbol, scan_error) of the symbols that give no result: without a price, with a corrupt one, or with numbers that overflow."""
+        inner = self.context.filter("broken").select("symbol").distinct().withColumn("inner_error", F.lit(INNER_ERROR))
+        rows = self.prices.select("symbol", "price_error").join(inner, "symbol", "left")
+        return rows.select("symbol", F.coalesce("price_error", "inner_error").alias("scan_error")).filter("scan_error is not null")
 
     @cached_property
     def pivots(self) -> DataFrame:
@@ -102,18 +121,24 @@ class Scan:
     def summary(self) -> DataFrame:
         """One row for each symbol asked for, also for those without data."""
         trend = self.trends.groupBy("symbol").agg(*(F.max(F.when(F.col("tf") == tf, F.col("trend"))).alias(f"trend_{tf.lower()}") for tf in TIMEFRAMES))
-        rows = self.symbols.join(trend, "symbol", "left").join(exports.price_context(self.zones), "symbol", "left").join(self.prices, "symbol", "left")
+        rows = self.symbols.join(trend, "symbol", "left").join(exports.price_context(self.zones), "symbol", "left").join(self.prices, "symbol", "left").join(self.symbol_errors, "symbol", "left")
         neutral = [F.coalesce(f"trend_{tf.lower()}", F.lit("NEUTRE")).alias(f"trend_{tf.lower()}") for tf in TIMEFRAMES]
-        return rows.select("symbol", *neutral, F.coalesce("price_context", F.lit("")).alias("price_context"), F.col("price").alias("current_price"), F.when(F.col("price").isNotNull(), F.col("source")).alias("current_price_source"), F.col("price_error").alias("scan_error"))
+        price = F.when(F.col("scan_error").isNull(), F.col("price"))
+        return rows.select("symbol", *neutral, F.coalesce("price_context", F.lit("")).alias("price_context"), price.alias("current_price"), F.when(price.isNotNull(), F.col("source")).alias("current_price_source"), "scan_error")
 
     def results(self) -> DataFrame:
-        """scan_results: a row for each symbol with maps and lists."""
+        """scan_results: a row for each symbol with maps and lists; a symbol with an error has no other values but its frames' errors."""
+        fine = F.col("scan_error").isNull()
         per_tf = self.trends.join(self.context.select(*GROUP, "n_bars"), GROUP).groupBy("symbol").agg(
-            F.map_from_entries(F.collect_list(F.struct("tf", "trend"))).alias("trends"), F.map_from_entries(F.collect_list(F.struct("tf", "n_bars"))).alias("bars_map"), F.collect_set("tf").alias("tfs")
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("tf", "trend")))).alias("trends"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tf", "n_bars")))).alias("bars_map"), F.collect_set("tf").alias("tfs")
         )
-        missing = F.array_except(F.array(*map(F.lit, TIMEFRAMES)), F.coalesce("tfs", F.array().cast("array<string>")))
         rows = self.summary.join(per_tf, "symbol", "left").join(self.anomalies, "symbol", "left")
-        return rows.withColumn("missing_tfs", missing).drop("tfs")
+        if self.frame_errors is not None:
+            broken = self.frame_errors.groupBy("symbol").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tf", "error")))).alias("frame_errors"))
+            rows = rows.join(broken, "symbol", "left")
+        missing = F.array_except(F.array(*map(F.lit, TIMEFRAMES)), F.coalesce("tfs", F.array().cast("array<string>")))
+        rows = rows.withColumn("missing_tfs", missing).drop("tfs")
+        return rows.withColumns({c: F.when(fine, F.col(c)) for c in ("trends", "bars_map", "anomaly", "missing_tfs", "price_context", *(f"trend_{tf.lower()}" for tf in TIMEFRAMES))})
 
     def totals(self, max_dist: float = 2.0, json_score: float = 20.0, brief_score: float = 57.0) -> DataFrame:
         """Counts for each (symbol, tf), each symbol and all, in one pass of grouping sets."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scores import decay_weight
 from candela.operators.indicators import GROUP
-from candela.schema import TF_PEAK_DISTANCE, pivot_reach
+from candela.schema import TF_PEAK_DISTANCE, by_tf, pivot_reach
 
 LEAST = 15
 PIVOT = "symbol string, tf string, kind string, bar_idx int, price double, weight double, prominence double"
@@ -74,40 +72,55 @@ def tiered(found: DataFrame) -> DataFrame:
     return counts.withColumn("tier", tier).filter(F.when(F.col("tier") == "full", F.col("full")).otherwise(F.col("half")))
 
 
-def _peaks(x: np.ndarray, distance: int, least: float, reach: int) -> list[tuple[int, float]]:
-    """Strict maxima over +-reach: the higher first, none nearer than distance to a higher one; (place, prominence)."""
-    rise = np.flatnonzero(np.diff(x, prepend=-np.inf, append=-np.inf) != 0)
-    tops = [(a + b - 1) // 2 for a, b in zip(rise[:-1], rise[1:]) if a > 0 and b < len(x) and x[a - 1] < x[a] > x[b]]
-    kept: list[int] = []
-    for top in sorted(tops, key=lambda i: (x[i], i), reverse=True):
-        if all(abs(top - other) >= distance for other in kept):
-            kept.append(top)
-    out = []
-    for top in sorted(kept):
-        left, right = x[max(0, top - reach) : top], x[top + 1 : top + 1 + reach]
-        if len(left) == reach == len(right) and x[top] > left.max() and x[top] > right.max():
-            prominence = x[top] - max(left.min(), right.min())
-            if prominence >= least:
-                out.append((top, float(prominence)))
-    return out
+def points(bars: DataFrame) -> DataFrame:
+    """A row for each bar and kind: x, the height that peaks are looked for in (a low's is its negative), and the extremes of `reach` bars on either side."""
+    w = Window.partitionBy(*GROUP, "kind").orderBy("bar_idx")
+    heights = F.array(F.struct(F.lit("high").alias("kind"), F.col("high").alias("x")), F.struct(F.lit("low").alias("kind"), (-F.col("low")).alias("x")))
+    rows = bars.select(*GROUP, "bar_idx", "n_bars", pivot_reach().alias("reach"), F.explode(heights).alias("p")).select(*GROUP, "bar_idx", "n_bars", "reach", "p.kind", "p.x")
+    for side, sign in (("left", -1), ("right", 1)):
+        for name, fn in (("top", F.max), ("low", F.min)):
+            near, far = (fn("x").over(w.rowsBetween(*sorted((sign, sign * reach)))) for reach in (3, 5))
+            rows = rows.withColumn(f"{side}_{name}", F.when(F.col("reach") == 5, far).otherwise(near))
+    return rows
+
+
+def tops(rows: DataFrame) -> DataFrame:
+    """(symbol, tf, kind, bar_idx, x): local maxima; of a flat one the middle bar, none at the ends."""
+    w = Window.partitionBy(*GROUP, "kind").orderBy("bar_idx")
+    level = F.sum(F.coalesce((F.col("x") != F.lag("x").over(w)).cast("int"), F.lit(0))).over(w)
+    flats = rows.select(*GROUP, "kind", "bar_idx", "x").withColumn("flat", level.alias("flat")).groupBy(*GROUP, "kind", "flat").agg(F.first("x").alias("x"), F.min("bar_idx").alias("first"), F.max("bar_idx").alias("last"))
+    beside = Window.partitionBy(*GROUP, "kind").orderBy("flat")
+    flats = flats.withColumn("before", F.lag("x").over(beside)).withColumn("after", F.lead("x").over(beside)).filter((F.col("before") < F.col("x")) & (F.col("after") < F.col("x")))
+    return flats.select(*GROUP, "kind", F.floor((F.col("first") + F.col("last")) / 2).cast("int").alias("bar_idx"), "x")
+
+
+def spaced(found: DataFrame) -> DataFrame:
+    """Of the tops those that no higher one (of equals: later one) that stays is too near to.
+
+    Each decision needs the ones before, so it is a fold over the group's tops from
+    the highest down; a group has fewer than LIMIT bars.
+    """
+    downwards = F.reverse(F.array_sort(F.collect_list(F.struct("x", "bar_idx"))))
+    groups = found.groupBy(*GROUP, "kind").agg(downwards.alias("all")).withColumn("distance", by_tf(TF_PEAK_DISTANCE, 5))
+
+    def step(kept: Column, top: Column) -> Column:
+        near = F.exists(kept, lambda k: F.abs(k - top["bar_idx"]) < F.col("distance"))
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(top["bar_idx"])))
+
+    kept = F.aggregate("all", F.array().cast("array<int>"), step)
+    return groups.select(*GROUP, "kind", F.explode(kept).alias("bar_idx"))
 
 
 def fallback(bars: DataFrame, context: DataFrame, poor: DataFrame) -> DataFrame:
-    """Peaks of the (symbol, tf) in poor, groups of at most LIMIT bars each; few groups have so few pivots."""
-    own = bars.join(context.filter("atr > 0").drop("n_bars").withColumn("least", prominence_floor(0.5)), list(GROUP)).join(poor, list(GROUP), "left_semi")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        tf, reach, n = pdf["tf"].iloc[0], int(pdf["reach"].iloc[0]), len(pdf)
-        rows = []
-        for kind, column, sign in (("high", "high", 1), ("low", "low", -1)):
-            prices = pdf[column].to_numpy(float)
-            for i, prominence in _peaks(sign * prices, TF_PEAK_DISTANCE.get(tf, 5), float(pdf["least"].iloc[0]), reach):
-                weight = 1.0 if n <= 1 else 0.35 + 0.65 * i / (n - 1)
-                rows.append((pdf["symbol"].iloc[0], tf, kind, i, float(prices[i]), weight, prominence))
-        return pd.DataFrame(rows, columns=["symbol", "tf", "kind", "bar_idx", "price", "weight", "prominence"])
-
-    return own.select(*GROUP, "bar_idx", "high", "low", "least", pivot_reach().alias("reach")).groupBy(*GROUP).applyInPandas(run, PIVOT)
+    """Peaks of the (symbol, tf) in poor: spaced tops that are strict extremes over full `reach` bars on both sides and prominent enough."""
+    own = points(bars.join(poor, list(GROUP), "left_semi"))
+    floors = context.filter("atr > 0").select(*GROUP, prominence_floor(0.5).alias("least"))
+    rows = own.join(spaced(tops(own)), [*GROUP, "kind", "bar_idx"]).join(floors, list(GROUP))
+    full = (F.col("bar_idx") >= F.col("reach")) & (F.col("bar_idx") < F.col("n_bars") - F.col("reach"))
+    strict = (F.col("x") > F.col("left_top")) & (F.col("x") > F.col("right_top"))
+    prominence = F.col("x") - F.greatest("left_low", "right_low")
+    rows = rows.withColumn("prominence", prominence).filter(full & strict & (F.col("prominence") >= F.col("least")))
+    return rows.select(*GROUP, "kind", "bar_idx", F.abs("x").alias("price"), decay_weight(F.col("bar_idx"), F.col("n_bars")).alias("weight"), "prominence")
 
 
 def merged(first: DataFrame, more: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from candela.functions.hashes import TTL, TTL_EMPTY, TTL_OTHER
 from candela.functions.text import ACCENTED, PLAIN, REDACT_PATTERNS, REDACTED, SYMBOL_TAGS
-from candela.schema import CONFLUENCE_THRESHOLDS, FOREX_BASES, PROFILES, STATUSES, TF_LAMBDA, TF_TREND, TF_WEIGHT, TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES
+from candela.schema import CONFLUENCE_THRESHOLDS, FOREX_BASES, PROFILES, STATUSES, TF_LAMBDA, TF_PEAK_DISTANCE, TF_TREND, TF_WEIGHT, TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES
 
 
 def text(value) -> str:
@@ -153,9 +153,36 @@ STAGES = {
   select * from (select *, case when n_full >= 3 or n_half <= n_full then 'full' else 'half' end as tier from (
     select *, count(*) filter (full_) over (partition by symbol, tf) as n_full, count(*) filter (half) over (partition by symbol, tf) as n_half from candidates))
   where case when tier = 'full' then full_ else half end""",
+    "poor": "select symbol, tf, atr, half_floor as least_ from limits where (symbol, tf) not in (select (symbol, tf) from tiered group by symbol, tf having count(*) >= 3)",
+    "points": f"""
+  select *, case when reach = 5 then lt5 else lt3 end as left_top, case when reach = 5 then rt5 else rt3 end as right_top, case when reach = 5 then ll5 else ll3 end as left_low, case when reach = 5 then rl5 else rl3 end as right_low from (
+    select *, {REACH} as reach,
+      max(x) over (w rows between 3 preceding and 1 preceding) as lt3, max(x) over (w rows between 1 following and 3 following) as rt3, min(x) over (w rows between 3 preceding and 1 preceding) as ll3, min(x) over (w rows between 1 following and 3 following) as rl3,
+      max(x) over (w rows between 5 preceding and 1 preceding) as lt5, max(x) over (w rows between 1 following and 5 following) as rt5, min(x) over (w rows between 5 preceding and 1 preceding) as ll5, min(x) over (w rows between 1 following and 5 following) as rl5
+    from (select symbol, tf, bar_idx, n_bars, 'high' as kind, high as x from bars semi join poor using (symbol, tf) union all select symbol, tf, bar_idx, n_bars, 'low', -low from bars semi join poor using (symbol, tf))
+    window w as (partition by symbol, tf, kind order by bar_idx))""",
+    "tops": f"""
+  select symbol, tf, kind, ((first_ + last_) // 2)::int as bar_idx, {case('tf', TF_PEAK_DISTANCE, 5)} as distance, row_number() over (partition by symbol, tf, kind order by x desc, first_ desc) as rn from (
+    select *, lag(x) over w as before_, lead(x) over w as after_ from (
+      select symbol, tf, kind, flat, any_value(x) as x, min(bar_idx) as first_, max(bar_idx) as last_ from (
+        select *, sum(case when x <> previous then 1 else 0 end) over (partition by symbol, tf, kind order by bar_idx rows unbounded preceding) as flat
+        from (select *, lag(x) over (partition by symbol, tf, kind order by bar_idx) as previous from points)) group by symbol, tf, kind, flat) window w as (partition by symbol, tf, kind order by flat))
+  where before_ < x and after_ < x""",
+    "spacing": """
+  select symbol, tf, kind, rn, [bar_idx] as kept from tops where rn = 1
+  union all
+  select t.symbol, t.tf, t.kind, t.rn, case when len(list_filter(s.kept, lambda k: abs(k - t.bar_idx) < t.distance)) > 0 then s.kept else list_append(s.kept, t.bar_idx) end
+  from spacing s join tops t on t.symbol = s.symbol and t.tf = s.tf and t.kind = s.kind and t.rn = s.rn + 1""",
+    "extra": """
+  select symbol, tf, kind, bar_idx, abs(x) as price, case when n_bars <= 1 then 1.0 else 0.35 + 0.65 * (bar_idx / (n_bars - 1)) end as weight, x - greatest(left_low, right_low) as prominence
+  from points join (select symbol, tf, kind, unnest(kept) as bar_idx from (select symbol, tf, kind, arg_max(kept, rn) as kept from spacing group by symbol, tf, kind)) k using (symbol, tf, kind, bar_idx) join poor using (symbol, tf)
+  where bar_idx >= reach and bar_idx < n_bars - reach and x > left_top and x > right_top and x - greatest(left_low, right_low) >= least_""",
+    "pivots_": """
+  select symbol, tf, kind, bar_idx, price, weight, prominence from (select symbol, tf, kind, bar_idx, price, weight, prominence, 0 as origin from tiered union all select *, 1 from extra)
+  qualify row_number() over (partition by symbol, tf, bar_idx, kind order by prominence desc, origin) = 1""",
     "ordered": """
   select t.*, row_number() over (partition by symbol, tf, kind order by t.price, bar_idx, weight, prominence) as rn,
-    least(greatest(atr * cluster_radius_atr, u.price * 0.0015), u.price * (max_cluster_width_pct / 100.0)) as band from tiered t join usable u using (symbol, tf)""",
+    least(greatest(atr * cluster_radius_atr, u.price * 0.0015), u.price * (max_cluster_width_pct / 100.0)) as band from pivots_ t join usable u using (symbol, tf)""",
     "clusters": """
   select symbol, tf, kind, bar_idx, price, weight, prominence, rn, 1 as cluster_id, price as first_price from ordered where rn = 1
   union all
@@ -246,16 +273,17 @@ STAGES = {
 STAGES["bounded"] = STAGES["bounded"].replace("{working}", "working")
 
 
-def chain(final: str) -> str:
-    """The stages that the final select needs, in order, and it."""
+def chain(final: str, **others: str) -> str:
+    """The stages that the final select needs, in order, and it; others: bodies of some stages in place of their own."""
+    stages = STAGES | others
     needed, todo = set(), [final]
     while todo:
         body = todo.pop()
-        for name in STAGES:
+        for name in stages:
             if name not in needed and _uses(body, name):
                 needed.add(name)
-                todo.append(STAGES[name])
-    return "with recursive " + ",\n".join(f"{n} as {'' if n in ('clusters', 'merging') else 'materialized '}({STAGES[n]})" for n in STAGES if n in needed) + "\n" + final
+                todo.append(stages[name])
+    return "with recursive " + ",\n".join(f"{n} as {'' if n in ('clusters', 'merging', 'spacing') else 'materialized '}({stages[n]})" for n in stages if n in needed) + "\n" + final
 
 
 def _uses(body: str, name: str) -> bool:
@@ -380,7 +408,7 @@ from {picked(5.0, 10.0)} group by symbol"""),
     "scan_summary": chain(f"select symbol, trend_h4, trend_daily, trend_weekly, price_context, {q('current_price')} as current_price, current_price_source, scan_error from summaries"),
     "class_a_totals": chain(f"""select symbol, tf, grouping(symbol, tf)::bigint as level, count(*) filter (kind = 'pivots') as n_pivots, count(*) filter (kind = 'trend_zones') as n_trend_zones, count(*) filter (kind = 'zones') as n_zones,
   count(*) filter (kind = 'after_confluence') as n_after_confluence, count(*) filter (kind = 'exported_json') as n_exported_json, count(*) filter (kind = 'exported_llm') as n_exported_llm
-from (select symbol, tf, 'pivots' as kind from tiered union all select symbol, tf, 'trend_zones' from trend_zones where asset_class in ('INDEX', 'METAL') union all select symbol, tf, 'zones' from zones
+from (select symbol, tf, 'pivots' as kind from pivots_ union all select symbol, tf, 'trend_zones' from trend_zones where asset_class in ('INDEX', 'METAL') union all select symbol, tf, 'zones' from zones
   union all select symbol, null, 'after_confluence' from confluences_ union all select symbol, null, 'exported_json' from {picked(2.0, 20.0)} union all select symbol, null, 'exported_llm' from {picked(2.0, 57.0)}) x
 group by grouping sets ((symbol, tf), (symbol), ()) having not (grouping(symbol, tf) = 0 and tf is null)"""),
     "requested_frames": chain(f"""select symbol, tf, count(b.bar_idx) as n_bars
@@ -444,3 +472,14 @@ requested as (select symbol, unnest({list(TIMEFRAMES)}) as tf from (select disti
 select symbol, tf, case when fetched_at is null then 'never' when rows = 0 then 'empty' else 'old' end as reason from requested left join latest using (symbol, tf)
 where not coalesce((select max(fetched_at) + 3 from log) - fetched_at <= case when rows = 0 then {TTL_EMPTY} else {_TTL} end, false)"""
 SQL["candles_upserted"] = f"select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, arrival, {q('close')} as close from ({ORDER_BARS}) qualify row_number() over (partition by symbol, ts order by arrival desc) = 1"
+
+#: Bars of events: three time frames of five names without a profile of their own, weekly frames of under 15 bars among them.
+NOISE = {
+    "ticks": "select event_type as symbol, ts, event_id as place, 100.0 + value / 10.0 as price from events",
+    "h4": "select symbol, 'H4' as tf, time_bucket(interval 4 hours, ts) as start, arg_min(price, (ts, place)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, place)) as close, count(*) as volume from ticks group by symbol, start",
+    "usable": "select a.*, p.* from atrs a join profiles p on p.profile_key = 'DEFAULT' where atr > 0",
+}
+_PIVOTS = f"select symbol, tf, kind, bar_idx, {q('price')} as price, {q('weight')} as weight, {q('prominence')} as prominence from "
+SQL["pivot_peaks"] = chain(_PIVOTS + "extra", **NOISE, poor="select symbol, tf, atr, half_floor as least_ from limits")
+SQL["pivots_with_fallback"] = chain(_PIVOTS + "pivots_", **NOISE)
+SQL["pivots_of_short_frames"] = chain(_PIVOTS + "pivots_", **NOISE).replace("order by ts desc) <= 500", "order by ts desc) <= 12")

@@ -515,3 +515,29 @@ def stale_frames(spark, sf_dir):
 def candles_upserted(spark, sf_dir):
     """Of several arrivals for one start the last, whatever it holds."""
     return store.upserted(order_bars(spark, sf_dir), ("arrival",)).select("symbol", "ts", "arrival", "close")
+
+
+def noise_context(bars):
+    return with_profile(indicators.atr(bars)).filter("atr > 0")
+
+
+@query
+def pivot_peaks(spark, sf_dir):
+    """The last resort alone, over every frame."""
+    rows = noise(spark, sf_dir)
+    context = noise_context(rows)
+    return pivots.fallback(rows, context, context.select("symbol", "tf"))
+
+
+@query
+def pivots_with_fallback(spark, sf_dir):
+    """Pivots of frames whose wick filter leaves few: all three tiers."""
+    rows = noise(spark, sf_dir)
+    return pivots.pivots(rows, noise_context(rows))
+
+
+@query
+def pivots_of_short_frames(spark, sf_dir):
+    """Frames of 12 bars have no swings, only peaks."""
+    rows = bar_ops.prepared(noise(spark, sf_dir).drop("bar_idx", "n_bars"), 12)
+    return pivots.pivots(rows, noise_context(rows))

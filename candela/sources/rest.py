@@ -62,6 +62,11 @@ class Requests(InputPartition):
     def __init__(self, keys: list[tuple[str, ...]]):
         self.keys = keys
 
+    @property
+    def symbol(self) -> str:
+        """The first request's."""
+        return self.keys[0][0]
+
 
 def dealt(keys: list[tuple[str, ...]], at_once: int) -> list[Requests]:
     """The keys over at most `at_once` partitions, as evenly as they go."""

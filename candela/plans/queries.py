@@ -32,7 +32,21 @@ def quotes(bars: DataFrame) -> DataFrame:
     return last.select("symbol", (F.col("close") * 1.001).alias("price"), F.when(F.col("symbol") == "EUR_USD", "live").otherwise("stale").alias("source"))
 
 
+#: Scans that the session has begun, by folder: their bars, pivots and zones are written once and serve every query.
+_scans: dict[tuple[str, str], Scan] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> Scan:
+    """The scan of a folder's trades, shared by the session's queries."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _scans:
+        for old in [k for k in _scans if k[0] != key[0]]:  # of sessions that have ended
+            del _scans[old]
+        _scans[key] = begun(spark, sf_dir)
+    return _scans[key]
+
+
+def begun(spark: SparkSession, sf_dir: str) -> Scan:
     h4 = written(ticks.bars_h4(ticks.walk(spark, sf_dir)))  # bars, no longer trades
     raw = h4.unionByName(ticks.rolled(h4, "Daily")).unionByName(ticks.rolled(h4, "Weekly"))
     return Scan(raw, quotes(raw), symbols(spark))

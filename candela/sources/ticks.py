@@ -1,9 +1,11 @@
 """Bars from tables of trades.
 
 walk() reads a price path off lineitem: the steps of a symbol's trades are
-summed up in time order. The path isn't summed in one task: steps are added up
-for each instant, the instants' sums (as many as the time grid has) are
-accumulated, and within an instant trades are accumulated on their own.
+summed up in time order. No task accumulates a symbol's path, nor an instant's
+trades, which grow with the table while instants don't: trades of an instant are
+cut into slices by order key. Steps are added up for each slice (before they are
+shuffled), the slices' sums are accumulated, and only within a slice trades are
+accumulated one by one.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 SYMBOLS = {"A": "EUR_USD", "N": "USD_JPY", "R": "XAU_USD"}
 SCALE = {"XAU_USD": 20.0}
+#: Order keys of a slice: so many trades of one instant, or a few more, are accumulated one by one.
+SLICE = 1 << 16
 
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +31,20 @@ def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.round(F.col("l_extendedprice") * 100).cast("bigint") % 201 - 100).alias("step"),
         *keys,
     )
-    instants = rows.groupBy("symbol", "ts").agg(F.sum("step").alias("total"))
-    before = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    instants = instants.select("symbol", "ts", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("symbol", "ts").orderBy(*keys)
+    rows = rows.withColumn("slice", F.floor(F.col("l_orderkey") / SLICE))
+    slices = rows.groupBy("symbol", "ts", "slice").agg(F.sum("step").alias("total"), F.count("*").alias("n"))
+    instant, symbol_so_far = Window.partitionBy("symbol", "ts"), Window.partitionBy("symbol")
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    instants = slices.groupBy("symbol", "ts").agg(F.sum("total").alias("total"))
+    instants = instants.select("symbol", "ts", earlier("total", symbol_so_far.orderBy("ts")).alias("so_far"))
+    slices = slices.select("symbol", "ts", "slice", earlier("total", instant.orderBy("slice")).alias("within"), earlier("n", instant.orderBy("slice")).alias("above"))
+    slices = slices.join(instants, ["symbol", "ts"]).select("symbol", "ts", "slice", (F.col("so_far") + F.col("within")).alias("before"), "above")
+    within = Window.partitionBy("symbol", "ts", "slice").orderBy(*keys)
     moved = F.col("before") + F.sum("step").over(within.rowsBetween(Window.unboundedPreceding, 0))
     scale = F.lit(1.0)
     for name, by in SCALE.items():
         scale = F.when(F.col("symbol") == name, by).otherwise(scale)
-    return rows.join(instants, ["symbol", "ts"]).select("symbol", "ts", F.row_number().over(within).alias("place"), ((100.0 + moved / 1000.0) * scale).alias("price"))
+    return rows.join(slices, ["symbol", "ts", "slice"]).select("symbol", "ts", (F.col("above") + F.row_number().over(within)).alias("place"), ((100.0 + moved / 1000.0) * scale).alias("price"))
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,17 @@ def cleared(spark: SparkSession) -> int:
     return n
 
 
+@contextlib.contextmanager
+def stored_within(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was stored inside, whose readers have written what they need; earlier tables stay."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        while len(_stored) > before:
+            removed(spark, _stored.pop())
+
+
 class FrameCache:
     """Persisted frames by key, on the driver: each lives as long as its time frame says, the least recently used go first.
 

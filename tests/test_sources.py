@@ -160,3 +160,15 @@ def test_only_stale_frames_are_fetched(spark, service, tmp_path):
     assert later.count() == 0 and kept.bars().filter("tf = 'Daily'").agg(F.min("close"), F.count("*")).first()[1] == 5 and kept.bars().filter("tf = 'Daily' and close < 2500").count() == 0
     kept.record(spark.createDataFrame([("XAU_USD", "Daily", None)], "symbol string, tf string, payload string"), NOW + datetime.timedelta(hours=2))
     assert kept.bars().filter("tf = 'Daily'").count() == 0  # the last answer was none
+
+
+def test_stored_tables_go_when_their_scope_ends(spark):
+    from candela.storage import cleared, stored, stored_within
+
+    outer = stored(spark.range(3))
+    with stored_within(spark):
+        inner = stored(spark.range(5))
+        assert inner.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|FileNotFound|does not exist"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+    assert outer.count() == 3 and cleared(spark) >= 1

@@ -483,3 +483,5 @@ _PIVOTS = f"select symbol, tf, kind, bar_idx, {q('price')} as price, {q('weight'
 SQL["pivot_peaks"] = chain(_PIVOTS + "extra", **NOISE, poor="select symbol, tf, atr, half_floor as least_ from limits")
 SQL["pivots_with_fallback"] = chain(_PIVOTS + "pivots_", **NOISE)
 SQL["pivots_of_short_frames"] = chain(_PIVOTS + "pivots_", **NOISE).replace("order by ts desc) <= 500", "order by ts desc) <= 12")
+SQL["rescan_changed_frames"] = chain(f"""select symbol, tf, symbol = 'XAU_USD' and tf = 'H4' as recomputed, coalesce(n, 0)::bigint as n_zones, levels
+from usable left join (select symbol, tf, count(*) as n, {q('sum(level)')} as levels from zones group by symbol, tf) z using (symbol, tf)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from candela.functions.scores import decay_weight, quantised, structural_score
 from candela.functions.text import latin_text, redact
 from candela.operators import bars as bar_ops
 from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
+from candela.plans import memo
 from candela.plans.scan import Scan, min_touches
 from candela.schema import TIMEFRAMES, with_profile
 from candela.sources import payloads, store, ticks
@@ -555,3 +557,14 @@ def pivots_of_short_frames(spark, sf_dir):
     """Frames of 12 bars have no swings, only peaks."""
     rows = bar_ops.prepared(noise(spark, sf_dir).drop("bar_idx", "n_bars"), 12)
     return pivots.pivots(rows, noise_context(rows))
+
+
+@on_fixture
+def rescan_changed_frames(s):
+    """A second scan after one frame has got a bar more: which frames it computes, and the zones it gives."""
+    earlier = dataclasses.replace(s)
+    missing = (F.col("symbol") == "XAU_USD") & (F.col("tf") == "H4") & (F.col("bar_idx") == F.col("n_bars") - 1)
+    earlier.__dict__["bars"] = written(bar_ops.numbered(s.bars.filter(~missing).drop("bar_idx", "n_bars")))
+    second = memo.rescanned(s, memo.rescanned(earlier))
+    zones_of = second.zones.groupBy("symbol", "tf").agg(F.count("*").alias("n_zones"), F.sum("level").alias("levels"))
+    return second.frames.join(zones_of, ["symbol", "tf"], "left").select("symbol", "tf", "recomputed", F.coalesce("n_zones", F.lit(0)).alias("n_zones"), "levels")

@@ -6,6 +6,7 @@ import re
 
 from candela.functions.hashes import TTL, TTL_EMPTY, TTL_OTHER
 from candela.functions.text import ACCENTED, PLAIN, REDACT_PATTERNS, REDACTED, SYMBOL_TAGS
+from candela.operators.pages import CONFLUENCE_WIDTHS, HEADS, ZONE_WIDTHS
 from candela.schema import CONFLUENCE_THRESHOLDS, FOREX_BASES, PROFILES, STATUSES, TF_LAMBDA, TF_PEAK_DISTANCE, TF_TREND, TF_WEIGHT, TIMEFRAMES, UI_CONFLUENCE_THRESHOLD, UI_MIN_TOUCHES
 
 
@@ -485,3 +486,48 @@ SQL["pivots_with_fallback"] = chain(_PIVOTS + "pivots_", **NOISE)
 SQL["pivots_of_short_frames"] = chain(_PIVOTS + "pivots_", **NOISE).replace("order by ts desc) <= 500", "order by ts desc) <= 12")
 SQL["rescan_changed_frames"] = chain(f"""select symbol, tf, symbol = 'XAU_USD' and tf = 'H4' as recomputed, coalesce(n, 0)::bigint as n_zones, levels
 from usable left join (select symbol, tf, count(*) as n, {q('sum(level)')} as levels from zones group by symbol, tf) z using (symbol, tf)""")
+
+
+def _latin(x: str) -> str:
+    body = f"translate(coalesce({x}, ''), '{ACCENTED}', '{PLAIN}')"
+    for symbol, tag in SYMBOL_TAGS:
+        body = f"replace({body}, '{symbol}', '{tag}')"
+    return f"regexp_replace({body}, '[^\\x{{0}}-\\x{{FF}}]', '?', 'g')"
+
+
+def _page_row(values: dict, widths: dict) -> str:
+    def cell(x: str, width: int) -> str:
+        n = int(width / 1.25)
+        text_ = f"(case when length({x}) > {n} then substr({x}, 1, {n - 1}) || '.' else {x} end)"
+        return f"rpad(repeat(' ', ((({n} - length({text_})) // 2))::int) || {text_}, {n}, ' ')"
+
+    return "'|' || " + " || '|' || ".join(cell(_latin(f"({values[c]})::varchar"), w) for c, w in widths.items()) + " || '|'"
+
+
+def _report_pages(per_page: int) -> str:
+    zone_heads = {c: text(h) for c, h in HEADS.items()}
+    found_heads = zone_heads | {"score_text": "'Score'", "force": "'Force Totale'"}
+    own = {c: c for c in HEADS}
+    numbered = lambda source, section, order, widths: f"select {section} as section, row_number() over (order by {order}) - 1 as place, {_page_row(own, widths)} as text from {source}"
+    shown = SQL["display_rows"].rsplit("\nselect replace", 1)[0] + ",\nshown as (select *, printf('%.1f', score) as score_text from (select replace" + SQL["display_rows"].rsplit("\nselect replace", 1)[1] + ")),\n"
+    others = chain("select 1 from confluences_ join anomalies using (symbol)").removeprefix("with recursive ").rsplit("\nselect 1", 1)[0]
+    known = set(re.findall(r"(?m)^(?:with recursive )?(\w+) as (?:materialized )?\(", shown))
+    more = ",\n".join(f"{n} as materialized ({STAGES[n]})" for n in re.findall(r"(?m)^(\w+) as (?:materialized )?\(", others) if n not in known)
+    return f"""{shown}{more},
+found as (select replace(symbol, '_', '/') as symbol, signal, printf('%.5f', level) as level_text, type, timeframes, n_tf, force, printf('%.1f', score) as score_text, status, printf('%.3f', dist_pct) as dist_text, alert, score, level
+  from (select * replace ({half_even('score', 1)} as score, {half_even('dist_pct', 3)} as dist_pct, {half_even('level', 5)} as level) from confluences_)),
+odd as (select row_number() over (order by text) as place, text from (select {_latin("printf('[!] %s : %s', replace(symbol, '_', '/'), anomaly)")} as text from anomalies where anomaly is not null and anomaly <> 'Prix STALE (marché fermé)')),
+data as (
+  {numbered('found', 1, 'score desc, symbol, level', CONFLUENCE_WIDTHS)}
+  union all {" union all ".join(numbered(f"(select * from shown where in_pdf and tf = '{tf}')", k, 'symbol, type, level_text', ZONE_WIDTHS) for k, tf in enumerate(TIMEFRAMES, 2))}),
+placed as (
+  select section, (place // {per_page})::int as part, (place % {per_page} + 2)::int as line, text from data
+  union all select distinct section, (place // {per_page})::int, 0, case section when 1 then 'ZONES DE CONFLUENCE' {" ".join(f"when {k} then 'Analyse {tf}'" for k, tf in enumerate(TIMEFRAMES, 2))} end from data
+  union all select distinct section, (place // {per_page})::int, 1, case section when 1 then {_page_row(found_heads, CONFLUENCE_WIDTHS)} else {_page_row(zone_heads, ZONE_WIDTHS)} end from data
+  union all select 0, ((place - 1) // {per_page})::int, ((place - 1) % {per_page} + 1)::int, text from odd
+  union all select 0, 0, 0, 'ALERTES ANOMALIES' where exists (select 1 from odd)),
+sizes as (select section, coalesce(sum(n) over (order by section rows between unbounded preceding and 1 preceding), 0) as before_ from (select section, max(part) + 1 as n from placed group by section))
+select (before_ + part + 1)::int as page, line, text from placed join sizes using (section)"""
+
+
+SQL["report_pages"] = _report_pages(12)

@@ -12,7 +12,7 @@ from candela.functions import hashes
 from candela.functions.scores import decay_weight, quantised, structural_score
 from candela.functions.text import latin_text, redact
 from candela.operators import bars as bar_ops
-from candela.operators import confluence, exports, indicators, pivots, quality, trend_zones, zones
+from candela.operators import confluence, exports, indicators, pages, pivots, quality, trend_zones, zones
 from candela.plans import memo
 from candela.plans.scan import Scan, min_touches
 from candela.schema import TIMEFRAMES, with_profile
@@ -568,3 +568,9 @@ def rescan_changed_frames(s):
     second = memo.rescanned(s, memo.rescanned(earlier))
     zones_of = second.zones.groupBy("symbol", "tf").agg(F.count("*").alias("n_zones"), F.sum("level").alias("levels"))
     return second.frames.join(zones_of, ["symbol", "tf"], "left").select("symbol", "tf", "recomputed", F.coalesce("n_zones", F.lit(0)).alias("n_zones"), "levels")
+
+
+@on_fixture
+def report_pages(s):
+    """The whole report, laid out; pages are short here so that tables have several."""
+    return pages.pages(s.rows, s.anomalies, confluence.stored_values(s.confluences), 12)

@@ -25,9 +25,11 @@ its own words back. Tasks add up bit counts (of blocks of training texts; of
 distinct words, as often as they occur) and send their tables in slices, which
 are added up by slice: every training text counts. The driver gets the code's
 words (WORDS of at most WORD_BYTES bytes) and the tables as two bytes a place,
-all of fixed size. Weights and refinement, some hundred numbers a model, are
-fitted in one task on FIT training texts, and FIT_WORDS distinct words, on
-average, chosen by a hash; their own bits are taken out of the counts first.
+all of fixed size. Weights and refinement, some hundred numbers a model, are learned
+from all training texts, and from all distinct words in them: each task learns
+from its own, where every bit is taken out of the counts before it is predicted,
+and Spark takes the means of the tasks' weights by the bits that each has seen,
+and adds up their cells.
 
 Defined results: null text counts as empty; an empty text is its end alone; a
 null id isn't held out; equal rows are scored alike and count each; without
@@ -59,9 +61,9 @@ WORDS, WORD_BYTES = 1 << 14, 64
 ORDERS, BITS, A = 3, 21, 0.4
 #: Places of a slice in which tables are added up.
 SLICE = 1 << 14
-#: Training texts and distinct words that weights are fitted on, on average; passes over them; rates of learning there and in a text.
-FIT, FIT_WORDS, PASSES, RATE, OWN_RATE = 500, 20_000, 2, 0.05, 0.05
-#: Symbols after which a text's weights learn; tokens of a block; symbols that are counted at once; sequences that are scored at once.
+#: Rates of learning from training texts and in a text.
+RATE, OWN_RATE = 0.05, 0.05
+#: Symbols after which a text's weights learn; tokens of a block; symbols that are counted, and bits that are learned from, at once; sequences that are scored at once.
 STEP, BLOCK, CHUNK, TEXTS = 64, 2_000_000, 4096, 128
 #: Gates; logits are cut at LIMIT on both sides, the refinement has a cell for each whole number between.
 GATES, LIMIT = 16, 12
@@ -176,28 +178,44 @@ def neutral() -> np.ndarray:
     return weights
 
 
-def fitted(code: Code, tables: list[tuple[np.ndarray, np.ndarray]], sequences: Iterable[tuple[np.ndarray, int]]) -> Weights:
-    """Weights and refinement from training sequences, each as often as it is said to occur, whose own bits don't count. tables: (logits in 16ths, levels) of each order."""
-    weights, sums = neutral(), np.full((ORDERS + 2, GATES), 1e-4, np.float32)
-    ones = zeros = np.zeros((GATES, CELLS))
-    rows = []
-    for s, times in sequences:
-        _, alone, places, bit, gates = code.bits(code.start(), s)
-        inputs = [alone, *(without_own(*table, p, bit, times) for table, p in zip(tables, places))]
-        rows.append(([x.astype(np.float32) for x in inputs], bit, gates))
-    for last in [*[False] * (PASSES - 1), True]:
-        for inputs, bit, gates in rows:
+class Learner:
+    """Weights and refinement of a task. tables: (logits in 16ths, levels) of each order."""
+
+    def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.code, self.tables = code, tables
+        self.weights, self.sums = neutral(), np.full((ORDERS + 2, GATES), 1e-4, np.float32)
+        self.ones, self.zeros = np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
+
+    def add(self, sequences: list[np.ndarray], times: list[int] | None = None) -> None:
+        """Learns from the sequences one after the other; times: how often each is in the counts."""
+        for length, alone, places, bit, gates, often in chunks(self.code, sequences, times):
+            many = None if often is None else np.repeat(often, length)
+            inputs = [alone, *(without_own(*table, p, bit, many) for table, p in zip(self.tables, places))]
             for at in range(0, len(bit), CHUNK):
                 part = slice(at, at + CHUNK)
-                x, g = [i[part] for i in inputs], gates[part]
-                logit = mixed(weights, g, x)
-                learn(weights, sums, g, x, bit[part] - squash(logit), RATE)
-                if last:
-                    where = g * CELLS + cell(logit)
-                    ones = ones + np.bincount(where, bit[part], GATES * CELLS).reshape(GATES, CELLS)
-                    zeros = zeros + np.bincount(where, 1 - bit[part], GATES * CELLS).reshape(GATES, CELLS)
+                x, g, b = [i[part] for i in inputs], gates[part], bit[part]
+                logit = mixed(self.weights, g, x)
+                learn(self.weights, self.sums, g, x, b - squash(logit), RATE)
+                where = g * CELLS + cell(logit)
+                ones = np.bincount(where, b, GATES * CELLS)
+                self.ones += ones
+                self.zeros += np.bincount(where, minlength=GATES * CELLS) - ones
+
+    def parts(self) -> pa.RecordBatch:
+        """(part, x): what means and sums over tasks are made of; weights count by their gate's bits."""
+        seen = (self.ones + self.zeros).reshape(GATES, CELLS).sum(axis=1)
+        x = np.concatenate([(self.weights * seen).ravel(), seen, self.ones, self.zeros])
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(x), pa.int32()), pa.array(x[np.flatnonzero(x)])], names=["part", "x"])
+
+
+def learned(parts: dict[int, float]) -> Weights:
+    """From the sums of all tasks' parts."""
+    x = np.zeros((ORDERS + 3) * GATES + 2 * GATES * CELLS)
+    x[list(parts)] = list(parts.values())
+    sums, seen, cells = x[: (ORDERS + 2) * GATES].reshape(-1, GATES), x[(ORDERS + 2) * GATES :][:GATES], x[(ORDERS + 3) * GATES :].reshape(2, GATES, CELLS)
+    weights = np.where(seen > 0, sums / np.maximum(seen, 1), neutral()).round(5)  # so that the order of the sums doesn't matter
     few = 50 * unrefined()  # a cell of few bits keeps to its own probability
-    return Weights(weights, ((ones + few) / (ones + zeros + 50)).astype(np.float32))
+    return Weights(weights.astype(np.float32), ((cells[0] + few) / (cells.sum(axis=0) + 50)).astype(np.float32))
 
 
 def unrefined() -> np.ndarray:
@@ -211,13 +229,22 @@ def mixed(weights: np.ndarray, slots: np.ndarray, inputs: list[np.ndarray]) -> n
     return np.clip(out, -LIMIT, LIMIT, out=out)
 
 
-def without_own(logits: np.ndarray, levels: np.ndarray, places: np.ndarray, bit: np.ndarray, times: int) -> np.ndarray:
-    """Logits of the places after the sequence's own bits are taken out."""
-    _, inverse = np.unique(places, return_inverse=True)
-    own, own_ones = np.bincount(inverse)[inverse] * times, np.bincount(inverse, bit)[inverse] * times
-    n = np.exp2(levels[places] / 8) - 1
-    ones = (n + 2 * A) * squash(logits[places] / 16) - A
-    return np.log((np.maximum(ones - own_ones, 0) + A) / (np.maximum(n - ones - (own - own_ones), 0) + A))
+def less(logits: np.ndarray, levels: np.ndarray, bit: np.ndarray, times: np.ndarray | int) -> np.ndarray:
+    """Logits after `times` such bits are taken out of the counts."""
+    n = np.exp2(levels / np.float32(8)) - 1
+    ones = (n + 2 * A) * squash(logits / np.float32(16)) - A
+    return np.log((np.maximum(ones - bit * times, 0) + A) / (np.maximum(n - ones - (1 - bit) * times, 0) + A)).astype(np.float32)
+
+
+#: less() of one bit, for each bit, level and logit.
+LESS_ONE = less(np.arange(-128, 128, dtype=np.float32), np.arange(256, dtype=np.float32)[:, None], np.arange(2, dtype=np.float32)[:, None, None], 1).ravel()
+
+
+def without_own(logits: np.ndarray, levels: np.ndarray, places: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Logits of the places after each bit, or so many of it, is taken out of the counts."""
+    if times is None:
+        return LESS_ONE[(bit.astype(np.int64) << 16) + (levels[places].astype(np.int64) << 8) + logits[places] + 128]
+    return less(logits[places], levels[places], bit, times)
 
 
 def scored(code: Code, tables: list[np.ndarray], fit: Weights, texts: list[np.ndarray]) -> np.ndarray:
@@ -375,6 +402,21 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
 
 
+def chunks(code: Code, sequences: list[np.ndarray], times: list[int] | None = None) -> Iterator[tuple]:
+    """Code.bits() of the sequences, CHUNK symbols at once, and how often each symbol's sequence occurs."""
+    if not sequences:
+        return
+    start = code.start()
+    s = np.concatenate([x for sequence in sequences for x in (start, sequence)])
+    wanted, sizes = np.ones(len(s), bool), np.array([len(x) + 5 for x in sequences])
+    for k in range(5):
+        wanted[np.cumsum(sizes) - sizes + k] = False
+    often = None if times is None else np.repeat(np.array(times, U), sizes)
+    for at in range(0, len(s), CHUNK):
+        here = wanted[at : at + CHUNK]
+        yield *code.bits(s[at - 5 : at] if at else start, s[at : at + CHUNK], here), None if often is None else often[at : at + CHUNK][here]
+
+
 class Tables:
     """Bit counts of a task."""
 
@@ -382,18 +424,8 @@ class Tables:
         self.code, self.counts = code, np.zeros((ORDERS, 2 << BITS), U)
 
     def add(self, sequences: list[np.ndarray], times: list[int] | None = None) -> None:
-        if not sequences:
-            return
-        start, code = self.code.start(), self.code
-        s = np.concatenate([x for sequence in sequences for x in (start, sequence)])
-        wanted, sizes = np.ones(len(s), bool), np.array([len(x) + 5 for x in sequences])
-        for k in range(5):
-            wanted[np.cumsum(sizes) - sizes + k] = False
-        often = None if times is None else np.repeat(np.array(times, U), sizes)
-        for at in range(0, len(s), CHUNK):
-            here = wanted[at : at + CHUNK]
-            length, _, places, bit, _ = code.bits(s[at - 5 : at] if at else start, s[at : at + CHUNK], here)
-            many = np.ones(len(bit), U) if often is None else np.repeat(often[at : at + CHUNK][here], length)
+        for length, _, places, bit, _, often in chunks(self.code, sequences, times):
+            many = np.ones(len(bit), U) if often is None else np.repeat(often, length)
             for table, p in zip(self.counts, places):
                 np.add.at(table, 2 * p + bit.astype(np.int64), many)
 
@@ -410,16 +442,29 @@ def held_pair(shared) -> Pair:
     return held(("language_model", shared.value.key), lambda: Pair(shared.value))
 
 
+def training_texts(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], None]]:
+    """Of each block the texts that aren't held out."""
+    for batch in batches:
+        for row in rows_of(batch):
+            texts, apart = split(pair.places(row["words"].as_py())[unpacked(row["places"].as_py())], row), row["apart"].as_py()
+            yield [t for t, held_apart in zip(texts, apart) if not held_apart], None
+
+
+def spelled_words(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Of each batch the distinct words that are spelled, and how often they occur in training texts."""
+    for batch in batches:
+        rows = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if pair.is_other(w)]
+        yield [pair.spelled(w) for w, _ in rows], [c for _, c in rows]
+
+
 def word_bits(rows: DataFrame, shared) -> DataFrame:
     """(slice, width, counts) of each task's training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = held_pair(shared)
         tables = Tables(pair.words)
-        for batch in batches:
-            for row in rows_of(batch):
-                texts, apart = split(pair.places(row["words"].as_py())[unpacked(row["places"].as_py())], row), row["apart"].as_py()
-                tables.add([t for t, held_apart in zip(texts, apart) if not held_apart])
+        for texts, _ in training_texts(pair, batches):
+            tables.add(texts)
         yield from tables.slices()
 
     return rows.select("apart", "lengths", "places", "words").mapInArrow(run, "slice int, width int, counts binary")
@@ -431,13 +476,16 @@ def byte_bits(counts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = held_pair(shared)
         tables = Tables(pair.bytes)
-        for batch in batches:
-            rows = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if pair.is_other(w)]
-            tables.add([pair.spelled(w) for w, _ in rows], [c for _, c in rows])
+        for words, times in spelled_words(pair, batches):
+            tables.add(words, times)
         yield from tables.slices()
 
-    few = counts.filter("c > 0").select("word", "c").coalesce(counts.sparkSession.sparkContext.defaultParallelism)  # each task sends whole tables
-    return few.mapInArrow(run, "slice int, width int, counts binary")
+    return in_training(counts).mapInArrow(run, "slice int, width int, counts binary")
+
+
+def in_training(counts: DataFrame) -> DataFrame:
+    """Words of training texts, in few parts: each task sends whole tables, or weights that it has learned from its own words."""
+    return counts.filter("c > 0").select("word", "c").coalesce(counts.sparkSession.sparkContext.defaultParallelism)
 
 
 def added_up(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -462,30 +510,21 @@ def added_up(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(logits.reshape(ORDERS, -1), levels.reshape(ORDERS, -1)))
 
 
-def fit(sample: DataFrame, shared, tables: list[tuple[np.ndarray, np.ndarray]], spelling: bool) -> Weights:
-    """From rows (words or whole texts as binary, times), in one task, which the sample's bound allows."""
-    sent = sample.sparkSession.sparkContext.broadcast(tables)
+def fit(rows: DataFrame, shared, tables: list[tuple[np.ndarray, np.ndarray]], spelling: bool) -> Weights:
+    """From all blocks, or (spelling) all words of training texts."""
+    sent = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = held_pair(shared)
-        rows = sorted(x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        if spelling:
-            sequences = [(pair.spelled(w), c) for w, c in rows if pair.is_other(w)]
-        else:
-            sequences = [(pair.places(tokens(t.decode())), c) for t, c in rows]
-        found = fitted(pair.bytes if spelling else pair.words, sent.value, sequences)
-        yield pa.RecordBatch.from_arrays([pa.array([found.weights.tobytes()], pa.binary()), pa.array([found.cells.tobytes()], pa.binary())], names=["weights", "cells"])
-
-    row = sample.repartition(1).mapInArrow(run, "weights binary, cells binary").first()
-    sent.unpersist()
-    if row is None:
-        return Weights(neutral(), unrefined())
-    return Weights(np.frombuffer(row["weights"], np.float32).reshape(ORDERS + 2, GATES), np.frombuffer(row["cells"], np.float32).reshape(GATES, CELLS))
+        learner = Learner(pair.bytes if spelling else pair.words, sent.value)
+        for sequences, times in (spelled_words if spelling else training_texts)(pair, batches):
+            learner.add(sequences, times)
+        yield learner.parts()
 
-
-def some(rows: DataFrame, many: int, wanted: int, *by: str) -> DataFrame:
-    """`wanted` of `many` rows on average, by a hash, twice as many at most."""
-    return rows.filter(F.pmod(F.xxhash64(*by), F.lit(max(many, 1))) < wanted).limit(2 * wanted)
+    source = in_training(rows) if spelling else rows.select("apart", "lengths", "places", "words")
+    found = source.mapInArrow(run, "part int, x double").groupBy("part").agg(F.sum("x").alias("x")).collect()  # some hundred rows
+    sent.unpersist()
+    return learned({r["part"]: r["x"] for r in found})
 
 
 def with_costs(counts: DataFrame, shared, tables: list[tuple[np.ndarray, np.ndarray]], weights: Weights) -> DataFrame:
@@ -514,14 +553,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     listed = rows.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     counts = stored(listed.groupBy("word").agg(F.sum("times").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    n_texts = rows.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast(codes_of(counts, words))
     byte_tables = added_up(byte_bits(counts, shared))
-    byte_weights = fit(some(counts.filter("c > 0").select("word", "c"), v, FIT_WORDS, "word"), shared, byte_tables, True)
+    byte_weights = fit(counts, shared, byte_tables, True)
     costs = with_costs(counts, shared, byte_tables, byte_weights)
     word_tables = added_up(word_bits(rows, shared))
-    training = docs.filter(~held_out(F.col(doc_id))).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.lit(1).alias("times"), F.col(doc_id).alias("its_id"))
-    word_weights = fit(some(training, n_texts, FIT, "its_id", "text").drop("its_id"), shared, word_tables, False)
+    word_weights = fit(rows, shared, word_tables, False)
     model = spark.sparkContext.broadcast([logits for logits, _ in word_tables])
     known = listed.select("block", "place", "word").join(costs, "word").groupBy("block").agg(F.collect_list(F.struct("place", "c", "tells")).alias("known")).withColumnRenamed("block", "its_block")
     whole = rows.drop("times", "words").join(known, F.col("block") == F.col("its_block")).drop("its_block")  # a row for each block on both sides

@@ -268,6 +268,21 @@ def test_op13_counts_and_scores(spark, monkeypatch, folder):
     assert all(len(x) == 1 for x in same.values()) and len(same) < len(got)  # repeated rows score alike
 
 
+def test_op13_weights_come_from_all_training_texts(spark, monkeypatch, folder):
+    made, sums = [], []
+    codes_of, learned = language_model.codes_of, language_model.learned
+    monkeypatch.setattr(language_model, "codes_of", lambda *a: made.append(codes_of(*a)) or made[-1])
+    monkeypatch.setattr(language_model, "learned", lambda parts: sums.append(parts) or learned(parts))
+    rng = random.Random(6)
+    rows = [(k, f"north wind {rng.choice('abc')} word{k}") for k in range(1500)]  # word{k}: spelled
+    queries.op13_lm_score(spark, folder(rows)).collect()
+    pair, seen = language_model.Pair(made[0]), (language_model.ORDERS + 2) * language_model.GATES
+    bits = [sum(x for k, x in parts.items() if seen <= k < seen + language_model.GATES) for parts in sums]
+    training = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 10]
+    assert len(training) > 1300 and bits[1] == int((made[0].word_counts * pair.words.length)[made[0].word_counts > 0].sum())
+    assert bits[0] == sum(int(pair.bytes.length[pair.spelled(f"word{k}".encode())].sum()) for k in training)
+
+
 def test_op13_without_anything_to_learn_from(spark, folder):
     held = next(k for k in range(1, 100) if zlib.crc32(str(k).encode()) % 10 == 0)
     r = queries.op13_lm_score(spark, folder([(held, "some words here")])).first()

@@ -228,6 +228,44 @@ class Paths(dict):
         return packed
 
 
+class Numbers(dict):
+    """How many tokens pre-tokens have, without the tokens; emptied when full.
+
+    Most short pre-tokens that weren't met before lead to states that weren't
+    either, so their pairs are merged in turn; long ones go through the
+    transducer.
+    """
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> int:
+        data = piece.encode()
+        if len(data) > LONGEST_PATH:
+            return len(self.transducer.piece(data))
+        n = 1 if data in self.transducer.merges.ranks else self.merged(data)
+        if len(self) >= PATHS:
+            self.clear()
+        self[piece] = n
+        return n
+
+    def merged(self, data: bytes) -> int:
+        """The number of parts left when the leftmost pair of lowest rank was joined until there was none."""
+        rank, none = self.transducer.merges.ranks.get, 1 << 32
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+        return len(parts)
+
+
 def utf8_table() -> list[list[int]]:
     """States by byte class of the UTF-8 machine: 0 between characters, then what must follow.
 
@@ -308,6 +346,7 @@ class Codec:
         self.merges = Merges({base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_file.splitlines() if x)})
         self.split = regex.compile(pattern).findall
         self.paths = Paths(Transducer(self.merges))
+        self.numbers = Numbers(self.paths.transducer)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -317,7 +356,10 @@ class Codec:
         return self.split(text)
 
     def count(self, piece: str) -> int:
-        return len(self.paths[piece]) // 4
+        return self.numbers[piece]
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        return list(map(self.numbers.__getitem__, pieces))
 
     def decode_bytes(self, packed: bytes | None, chunk: int = 1 << 14) -> Iterator[bytes]:
         """The tokens' bytes, chunk by chunk."""

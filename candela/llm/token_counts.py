@@ -18,6 +18,8 @@ other, each to the text that the former left; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from operator import add
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -44,11 +46,17 @@ class CountTree:
         pieces = codec.pieces(text)
         self.leaves: list[list[str]] = [[p] for p in pieces] or [[]]
         self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, piece in enumerate(pieces):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(piece), codec.count(piece)
-        for node in range(self.width - 1, 0, -1):
-            self._sum(node)
+        self.chars, self.tokens = self._sums(map(len, pieces)), self._sums(codec.counts(pieces))
+
+    def _sums(self, leaves: Iterable[int]) -> list[int]:
+        """The nodes' sums, level by level from the leaves up."""
+        level = list(leaves)
+        level += [0] * (self.width - len(level))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(add, level[::2], level[1::2]))
+            levels.append(level)
+        return [0, *chain.from_iterable(reversed(levels))]
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]

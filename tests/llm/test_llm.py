@@ -401,6 +401,16 @@ def test_edits_are_counted_as_if_anew(codec):
     assert tree.encoded < 12
 
 
+def test_counts_without_the_tokens():
+    codec = bpe.Codec(RAW, public_tokenizers.PATTERN)
+    rng = random.Random(21)
+    junk = ["".join(rng.choice("abcdeh0123456789 \u00e9\u4e16") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    pieces = [p for text in [*junk, " the quick brown fox " * 9, "x" * 300] for p in codec.pieces(text)]
+    assert codec.counts(pieces) == [len(codec.encode(p)) // 4 for p in pieces]
+    states = len(codec.paths.transducer.states)
+    assert codec.count("zq9#vk2") == len(codec.merges.merged(b"zq9#vk2")) and len(codec.paths.transducer.states) == states  # no state for what is only counted
+
+
 def test_token_counts_in_spark(spark, encoding):
     edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("stop"), F.lit("Zz ").alias("text")))
     got = token_counts.count(odd(spark).withColumn("edits", edits), RAW, public_tokenizers.PATTERN, "edits").collect()

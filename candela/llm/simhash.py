@@ -61,7 +61,10 @@ def shingles(text: str | None, width: int = WIDTH, lower: bool = True) -> np.nda
 
 def fingerprint(text: str | None, width: int = WIDTH, lower: bool = True) -> int:
     """64 bits; a bit is set if it is in over half the hashes of the text's word shingles."""
-    hashes = shingles(text, width, lower)
+    return majority(shingles(text, width, lower))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -531,6 +532,34 @@ def test_mix_of_odd_rows(spark):
     assert mixing.resampled(odd(spark)).columns == odd(spark).columns
 
 
+def test_near_copies_have_candidates_by_simhash(spark):
+    texts = [*near_copies(random.Random(17)), None, "one two three"]
+    prints = {near.set_key(s): simhash.majority(s) for s in map(near.shingle_set, texts)}
+    marked = near.with_keys(docs(spark, texts), near.WIDTH, "doc_id", "text").drop("doc_id").dropDuplicates(["bits"])
+    got = {k: k for k in prints} | {r["a"]: r["b"] for r in near.simhash_candidates(marked).collect()}
+    want = {k: k for k in prints}
+    for x in prints:
+        for y in prints:
+            if (prints[x] ^ prints[y]).bit_count() <= simhash.RADIUS and want[x] != want[y]:
+                low, high = sorted((want[x], want[y]))
+                want = {k: low if r == high else r for k, r in want.items()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_a_bucket_of_unlike_texts_gives_no_pairs():
+    rng = random.Random(18)
+    common = [f"c{k}" for k in range(60)]
+    sets = [near.shingle_set(" ".join(common + [f"w{rng.random()}" for _ in range(40)])) for _ in range(60)]
+    sets.append(near.shingle_set(" ".join(common + [f"x{k}" for k in range(8)])))
+    sets.append(near.shingle_set(" ".join(common + [f"y{k}" for k in range(2)])))
+    members = [{"bits": near.set_key(s), "root": k, "n": len(s), "strip": 0, "odd": near.parities(s)} for k, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("bits", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("strip", pa.int32()), ("odd", pa.binary())]))
+    out = list(near.pairs_across(0.8)([pa.RecordBatch.from_arrays([pa.array([members], kind)], names=["members"])]))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = {frozenset((near.set_key(a), near.set_key(b))) for k, a in enumerate(sets) for b in sets[:k] if alike(a, b)}
+    assert {frozenset((x["a"], x["b"])) for batch in out for x in batch.to_pylist()} == want and len(want) == 1
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     texts = near_copies(rng, 150) + [f"unique {rng.random()} text number {i} with token = \"{rng.getrandbits(160):040x}\" inside it" for i in range(30)] + ["a vile grumbolt speaks here"] * 40 + [None, ""]

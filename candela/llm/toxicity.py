@@ -11,9 +11,9 @@ features that occur in them; every text is scored.
 
 N-grams are counted by Spark over the sample's PARTS partitions. The steps of
 the fit (limited-memory BFGS) are taken in one task, which holds the sample's
-features, two bytes each: some 120 MB for 10,000 texts of 3,400 characters. The
-driver gets counts, ratios and weights, vectors of SPACE numbers whatever the
-input, and no rows.
+features once, two bytes each, as Spark sent them (in batches of ROWS rows): some
+120 MB for 10,000 texts of 3,400 characters. The driver gets counts, ratios and
+weights, vectors of SPACE numbers whatever the input, and no rows.
 
 Defined results: null text counts as empty; an empty text has no feature and
 its score is that of the intercept; rows without a label (or id) are scored but
@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import appended, held, written
+from candela.llm.common import appended, held, short_batches, written
 
 #: Labelled rows that are learned from at most, in PARTS partitions.
 TRAIN_ROWS, PARTS = 10_000, 4
+#: Rows of the sample that Spark and a task pass between them at once; a row is some 12 KB.
+ROWS = 256
 #: n-gram lengths; places that n-grams are hashed to.
 LENGTHS, SPACE = (4, 5, 6), 1 << 20
 #: Texts that smooth a feature's shares; weight of the penalty.
@@ -101,7 +103,7 @@ def packed(features: np.ndarray) -> bytes:
 
 
 def unpacked(data, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{len(data) // n}"), dtype=np.int32) if n else np.empty(0, np.int32)
+    return np.cumsum(np.frombuffer(data, f"<u{memoryview(data).nbytes // n}"), dtype=np.int32) if n else np.empty(0, np.int32)
 
 
 def vectors(texts: DataFrame) -> DataFrame:
@@ -119,11 +121,17 @@ def vectors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "toxic int, n int, features binary")
 
 
-def in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int]]:
-    """(features, still packed, their number, toxic) of rows of vectors()."""
+def in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Buffer, int, int]]:
+    """(features, still packed and in their batch's memory, their number, toxic) of rows of vectors()."""
     for batch in batches:
-        for toxic, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            yield found.as_py(), n, toxic
+        if not batch.num_rows:
+            continue
+        found = batch.column(2)
+        _, ends, data = found.buffers()
+        data = data or pa.py_buffer(b"")  # no text has features
+        at = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(found.type) else "<i4")[found.offset :].tolist()
+        for k, (toxic, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            yield data[at[k] : at[k + 1]], n, toxic
 
 
 def counts(rows: DataFrame) -> np.ndarray:
@@ -194,6 +202,11 @@ def minimised(slope_at: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
+    with short_batches(docs.sparkSession, ROWS):
+        return _fit(docs, labels, rows, doc_id, text)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str, text: str) -> Model:
     learned = written(vectors(sample(docs, labels, rows, doc_id, text).repartition(PARTS)))
     clean, toxic = counts(learned)
     n0, n1 = int(clean[-1]), int(toxic[-1])

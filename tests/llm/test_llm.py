@@ -580,3 +580,24 @@ def test_pipeline(spark, tmp_path):
     assert done["source_mix"].columns == table.columns
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert last.columns == [*table.columns, "ids", "n_tokens"] and last.count() == done["byte_bpe"].count() > 0
+
+
+def test_the_fit_holds_its_features_once(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([3, 2], pa.int32()), pa.array([toxicity.packed(np.array(x)) for x in ([1, 5, 9], [4, 70_000])], pa.binary())], names=["toxic", "n", "features"])
+    data = batch.column(2).buffers()[2]
+    found = list(toxicity.in_order([batch]))
+    assert [(toxicity.unpacked(x, n).tolist(), toxic) for x, n, toxic in found] == [([1, 5, 9], 1), ([4, 70_000], 0)]
+    assert all(data.address <= x.address < data.address + data.size for x, _, _ in found)  # no copies
+
+
+def test_long_rows_go_in_short_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, written = spark.conf.get(key), toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df: seen.append(int(spark.conf.get(key))) or written(df))
+    toxicity.fit(docs(spark, ["some text", "other text"]), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    assert seen and max(seen) <= 256 and spark.conf.get(key) == before
+    try:
+        corpus_pipeline.encode(spark, docs(spark, ["some text"]), "")
+        assert int(spark.conf.get(key)) <= 1000  # its table isn't computed yet
+    finally:
+        spark.conf.set(key, before)

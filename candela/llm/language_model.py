@@ -137,9 +137,9 @@ class Code:
         ends = np.cumsum(length)
         depth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
         at = depth + np.repeat(self.first[s], length)
-        salt = self.salt[at]
+        salt = self.salt.take(at)
         places = [((((np.repeat(c, length) ^ salt) * MIX[4]) >> U(32 - BITS)).astype(np.int64)) for c in contexts]
-        return length, self.alone[at], places, self.bit[at], np.minimum(depth, GATES - 1)
+        return length, self.alone.take(at), places, self.bit.take(at), np.minimum(depth, GATES - 1)
 
     def start(self) -> np.ndarray:
         return np.full(5, self.end, U)
@@ -182,7 +182,8 @@ class Learner:
     """Weights and refinement of a task. tables: (logits in 16ths, levels) of each order."""
 
     def __init__(self, code: Code, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.code, self.tables = code, tables
+        self.code = code
+        self.tables = [(levels.astype(np.uint16) << 8) + (logits.astype(np.int16) + 128).astype(np.uint16) for logits, levels in tables]  # one look-up for both
         self.weights, self.sums = neutral(), np.full((ORDERS + 2, GATES), 1e-4, np.float32)
         self.ones, self.zeros = np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
 
@@ -190,16 +191,18 @@ class Learner:
         """Learns from the sequences one after the other; times: how often each is in the counts."""
         for length, alone, places, bit, gates, often in chunks(self.code, sequences, times):
             many = None if often is None else np.repeat(often, length)
-            inputs = [alone, *(without_own(*table, p, bit, many) for table, p in zip(self.tables, places))]
+            again = None if many is None else np.flatnonzero(many > 1)
+            side = bit.astype(np.int64) << 16
+            inputs = [alone, *(without_own(table.take(p), side, bit, many, again) for table, p in zip(self.tables, places))]
             for at in range(0, len(bit), CHUNK):
                 part = slice(at, at + CHUNK)
                 x, g, b = [i[part] for i in inputs], gates[part], bit[part]
                 logit = mixed(self.weights, g, x)
                 learn(self.weights, self.sums, g, x, b - squash(logit), RATE)
                 where = g * CELLS + cell(logit)
-                ones = np.bincount(where, b, GATES * CELLS)
-                self.ones += ones
-                self.zeros += np.bincount(where, minlength=GATES * CELLS) - ones
+                both = np.bincount(where + (side[part] >> 16) * (GATES * CELLS), minlength=2 * GATES * CELLS)
+                self.zeros += both[: GATES * CELLS]
+                self.ones += both[GATES * CELLS :]
 
     def parts(self) -> pa.RecordBatch:
         """(part, x): what means and sums over tasks are made of; weights count by their gate's bits."""
@@ -223,9 +226,9 @@ def unrefined() -> np.ndarray:
 
 
 def mixed(weights: np.ndarray, slots: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    out = weights[-1][slots]
+    out = weights[-1].take(slots)
     for k, x in enumerate(inputs):
-        out += weights[k][slots] * x
+        out += weights[k].take(slots) * x
     return np.clip(out, -LIMIT, LIMIT, out=out)
 
 
@@ -240,11 +243,13 @@ def less(logits: np.ndarray, levels: np.ndarray, bit: np.ndarray, times: np.ndar
 LESS_ONE = less(np.arange(-128, 128, dtype=np.float32), np.arange(256, dtype=np.float32)[:, None], np.arange(2, dtype=np.float32)[:, None, None], 1).ravel()
 
 
-def without_own(logits: np.ndarray, levels: np.ndarray, places: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
-    """Logits of the places after each bit, or so many of it, is taken out of the counts."""
-    if times is None:
-        return LESS_ONE[(bit.astype(np.int64) << 16) + (levels[places].astype(np.int64) << 8) + logits[places] + 128]
-    return less(logits[places], levels[places], bit, times)
+def without_own(found: np.ndarray, side: np.ndarray, bit: np.ndarray, times: np.ndarray | None, again: np.ndarray | None) -> np.ndarray:
+    """Logits of places (level * 256 + logit + 128) after each bit (side: bit * 65536) is taken out of the counts; those at `again` `times` times."""
+    out = LESS_ONE.take(side + found)
+    if again is not None and len(again):
+        few = found[again]
+        out[again] = less((few & 255).astype(np.float32) - 128, (few >> 8).astype(np.float32), bit[again], times[again])
+    return out
 
 
 def scored(code: Code, tables: list[np.ndarray], fit: Weights, texts: list[np.ndarray]) -> np.ndarray:
@@ -268,10 +273,10 @@ def scored(code: Code, tables: list[np.ndarray], fit: Weights, texts: list[np.nd
         many = np.add.reduceat(length, heads - 5 * np.arange(len(heads)))  # bits of each text
         starts = np.cumsum(many) - many
         slots = np.repeat(np.arange(len(there)) * GATES, many) + gates
-        inputs = [alone, *(table[p] * np.float32(1 / 16) for table, p in zip(tables, places))]
+        inputs = [alone, *(table.take(p) * np.float32(1 / 16) for table, p in zip(tables, places))]
         logit = mixed((fit.weights[:, None, :] + own[:, there, None]).reshape(ORDERS + 2, -1), slots, inputs)
         chance = squash(logit)
-        final = (chance + cells[gates * CELLS + cell(logit)]) / 2
+        final = (chance + cells.take(gates * CELLS + cell(logit))) / 2
         total[there] += np.add.reduceat(np.log(np.abs(1 - bit - final)), starts, dtype=np.float64)
         off = bit - chance
         for k, x in enumerate([*inputs, None]):
@@ -426,8 +431,9 @@ class Tables:
     def add(self, sequences: list[np.ndarray], times: list[int] | None = None) -> None:
         for length, _, places, bit, _, often in chunks(self.code, sequences, times):
             many = np.ones(len(bit), U) if often is None else np.repeat(often, length)
+            side = bit.astype(np.int64)
             for table, p in zip(self.counts, places):
-                np.add.at(table, 2 * p + bit.astype(np.int64), many)
+                np.add.at(table, 2 * p + side, many)
 
     def slices(self) -> Iterator[pa.RecordBatch]:
         """Those that hold anything, in as few bytes a count as they need, compressed: most counts are small."""

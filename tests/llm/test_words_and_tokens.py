@@ -288,3 +288,15 @@ def test_op13_without_anything_to_learn_from(spark, folder):
     r = queries.op13_lm_score(spark, folder([(held, "some words here")])).first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 4, 0, 0, 0.0) and math.isfinite(r["score"])
     assert language_model.score(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_look_up_takes_own_bits_out():
+    rng = np.random.default_rng(7)
+    logits, levels = rng.integers(-127, 128, 500).astype(np.int8), rng.integers(8, 200, 500).astype(np.uint8)
+    table = language_model.Learner(small_codes()[0], [(logits, levels)]).tables[0]
+    bit, times = rng.integers(0, 2, 500).astype(np.float32), rng.integers(1, 4, 500).astype(np.uint32)
+    side = bit.astype(np.int64) << 16
+    for many in (None, times):
+        got = language_model.without_own(table, side, bit, many, None if many is None else np.flatnonzero(many > 1))
+        want = language_model.less(logits.astype(np.float32), levels.astype(np.float32), bit, 1 if many is None else many)
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4)

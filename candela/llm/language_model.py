@@ -49,6 +49,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,15 +64,21 @@ ORDERS, BITS, A = 3, 21, 0.4
 SLICE = 1 << 14
 #: Rates of learning from training texts and in a text.
 RATE, OWN_RATE = 0.05, 0.05
-#: Symbols after which a text's weights learn; tokens of a block; symbols that are counted, and bits that are learned from, at once; sequences that are scored at once.
-STEP, BLOCK, CHUNK, TEXTS = 64, 2_000_000, 4096, 128
+#: Symbols after which a text's weights learn; tokens of a block; symbols that are counted, about as many bits that are learned from, and texts that are scored at once.
+STEP, BLOCK, SYMBOLS, CHUNK, TEXTS = 64, 2_000_000, 1 << 15, 4096, 512
 #: Gates; logits are cut at LIMIT on both sides, the refinement has a cell for each whole number between.
 GATES, LIMIT = 16, 12
 CELLS = 2 * LIMIT
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: A byte that UTF-8 never has.
+END = 255
+#: Bytes of texts that are split into words at once.
+SPLIT = 1 << 20
 U = np.uint32
 #: Odd multipliers of the hashes, fixed values.
 MIX = [U(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
+#: Levels of a code's tree whose nodes, seven at most, share eight places in a row for each context: one line of a cache.
+NEAR = 3
 #: Symbols before a bit that its hashed contexts take in.
 AFTER_WORDS, AFTER_BYTES = (1, 2, 3), (2, 3, 5)
 
@@ -81,14 +88,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words, split at space and \\t to \\r, and an empty one for the end."""
-    return [*(text or "").encode().translate(LOWER).split(), b""]
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words, split at space and \\t to \\r, and an empty one for the end of each text: bytes of all, length of each, how many each text has."""
+    data = np.frombuffer(b" ".join([part for text in texts for part in ((text or "").encode().translate(LOWER), bytes([END]))]), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths, ends = edges[1::2] - edges[::2], data[edges[::2]] == END
+    lengths[ends] = 0
+    return data[inside & (data != END)], lengths, np.diff(np.flatnonzero(ends), prepend=-1)
 
 
 # The code
 
 
+class Sequences(NamedTuple):
+    flat: np.ndarray  # the symbols of all, one sequence after the other
+    lengths: np.ndarray
+
+    def padded(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols, the five of start before each sequence, and which of them are the sequences' own."""
+        s, own = np.empty(len(self.flat) + 5 * len(self.lengths), U), np.ones(len(self.flat) + 5 * len(self.lengths), bool)
+        heads = np.cumsum(self.lengths + 5) - self.lengths - 5
+        for k in range(5):
+            s[heads + k], own[heads + k] = start[k], False
+        s[own] = self.flat
+        return s, own
+
+
+def joined(sequences: Sequences | list[np.ndarray]) -> Sequences:
+    if isinstance(sequences, Sequences):
+        return sequences
+    return Sequences(np.concatenate([np.zeros(0, U), *sequences]), np.array([len(x) for x in sequences], np.int64))
+
+
 class Code:
     """A Huffman code over symbols, by their counts; the last symbol ends a sequence and stands before its first."""
 
@@ -110,21 +142,35 @@ class Code:
                 ones[above[k]] = weight[k]
         total = np.array(weight, float)[n:]
         alone = np.log((ones[n:] + A) / (total - ones[n:] + A)).astype(np.float32)
-        node, bit, self.length = [], [], np.zeros(n, np.int32)
+        paths = []
         for k in range(n):
             path, at = [], k
             while at != 2 * n - 2:
                 path.append((above[at] - n, turn[at]))
                 at = above[at]
-            node += [x for x, _ in reversed(path)]
-            bit += [x for _, x in reversed(path)]
-            self.length[k] = len(path)
-        # of each step of each symbol's path: the bit, what the node alone tells of it, the node's part of the hashes
-        self.bit, self.alone, self.salt = np.array(bit, np.float32), alone[node], np.array(node, U) * MIX[3]
-        self.first = np.cumsum(self.length) - self.length
-
-    def bits(self, before: np.ndarray, s: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """For the bits of the symbols s (or of the wanted ones), which follow the five symbols before: lengths of the symbols' codes, what the nodes alone tell, places in each table, bits (0.0 or 1.0), gates."""
+            paths.append(path[::-1])
+        self.length = np.array([len(p) for p in paths], np.int32)
+        order = np.argsort(-self.length, kind="stable")  # the longest codes first
+        self.rank = np.empty(n, np.uint16 if n <= 1 << 16 else np.int64)
+        self.rank[order] = np.arange(n)
+        # for each level of the tree, of the symbols by rank that have one: the bit, what the node alone tells; for each
+        # NEAR levels of those that have the first: where a node is among the eight places, the first node's part of the hashes
+        self.steps, self.groups = [], []
+        for depth in range(int(self.length.max())):
+            node, bit = (np.array([paths[k][depth][i] for k in order[: (self.length > depth).sum()]]) for i in range(2))
+            if depth % NEAR == 0:
+                self.groups.append((np.zeros((NEAR, len(node)), np.int64), node.astype(U) * MIX[3]))
+            near = self.groups[-1][0]
+            near[depth % NEAR, : len(node)] = 2 * near[depth % NEAR - 1, : len(node)] + last[: len(node)] if depth % NEAR else 1
+            self.steps.append((bit.astype(np.float32), alone[node]))
+            last = bit
+
+    def places(self, before: np.ndarray, s: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[Iterator[np.ndarray]]]:
+        """The symbols s (or the wanted ones), which follow the five symbols before, level by level of the tree, so that a symbol's contexts and weights need no copy for each bit.
+
+        Gives the order in which the symbols are taken, longest code first; their ranks; how many have a bit on each level;
+        and for each NEAR levels the places in each table, a row for each symbol that has the first of them.
+        """
         whole = np.concatenate([before[-5:], s]).astype(U)
         h, contexts = np.zeros(len(s), U), []
         for k in range(1, 6):
@@ -133,13 +179,38 @@ class Code:
                 contexts.append(h)
         if wanted is not None:
             s, contexts = s[wanted], [c[wanted] for c in contexts]
-        length = self.length[s]
-        ends = np.cumsum(length)
-        depth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
-        at = depth + np.repeat(self.first[s], length)
-        salt = self.salt.take(at)
-        places = [((((np.repeat(c, length) ^ salt) * MIX[4]) >> U(32 - BITS)).astype(np.int64)) for c in contexts]
-        return length, self.alone.take(at), places, self.bit.take(at), np.minimum(depth, GATES - 1)
+        rank = self.rank[s]
+        order = np.argsort(rank, kind="stable")
+        many = len(s) - np.cumsum(np.bincount(self.length[s]))[:-1]
+        rank, contexts = rank[order].astype(np.int64), [c[order] for c in contexts]
+
+        def each(n: int, near: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+            salt, nears = node.take(rank[:n]), [x.take(rank[:n]) for x in near]
+            for c in contexts:
+                first, out = (((c[:n] ^ salt) * MIX[4]) >> U(32 - BITS)).astype(np.int64), np.empty((n, NEAR), np.int64)
+                for k, x in enumerate(nears):
+                    np.bitwise_xor(first, x, out=out[:, k])
+                yield out
+
+        return order, rank, many, (each(n, *group) for n, group in zip(many[::NEAR].tolist(), self.groups))
+
+    def levels(self, before: np.ndarray, s: np.ndarray, wanted: np.ndarray | None = None, tables: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]]:
+        """Order and number of the symbols, see places(); for each level what the nodes alone tell, what is in each table (without tables: the places), bits (0.0 or 1.0)."""
+        order, rank, many, groups = self.places(before, s, wanted)
+
+        def each() -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+            for depth, (n, (bit, alone)) in enumerate(zip(many.tolist(), self.steps)):
+                if depth % NEAR == 0:  # a symbol's places side by side are looked up one after the other, while they are in the cache
+                    found = [np.ascontiguousarray((p if tables is None else tables[k].take(p)).T) for k, p in enumerate(next(groups))]
+                yield alone.take(rank[:n]), [f[depth % NEAR, :n] for f in found], bit.take(rank[:n])
+
+        return order, many, each()
+
+    def bits(self, before: np.ndarray, s: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """All levels one after the other: how many bits each has, what the nodes alone tell, places in each table, bits, gates."""
+        _, many, each = self.levels(before, s, wanted)
+        alone, places, bit = zip(*each)
+        return many, np.concatenate(alone), [np.concatenate(p) for p in zip(*places)], np.concatenate(bit), np.repeat(np.minimum(np.arange(len(many)), GATES - 1), many)
 
     def start(self) -> np.ndarray:
         return np.full(5, self.end, U)
@@ -162,16 +233,6 @@ def cell(logit: np.ndarray) -> np.ndarray:
     return np.minimum((logit + LIMIT).astype(np.int64), 2 * LIMIT - 1)
 
 
-def learn(weights: np.ndarray, sums: np.ndarray, slots: np.ndarray, inputs: list[np.ndarray], off: np.ndarray, rate: float) -> None:
-    """One step of every weight, by the mean of off * input over its slot's bits, divided by the length of its gradients so far."""
-    n = weights.shape[1]
-    many = np.maximum(np.bincount(slots, minlength=n), 16)
-    for k, x in enumerate([*inputs, None]):
-        slope = np.bincount(slots, off if x is None else off * x, minlength=n) / many
-        sums[k] += slope * slope
-        weights[k] += rate * slope / np.sqrt(sums[k])
-
-
 def neutral() -> np.ndarray:
     weights = np.full((ORDERS + 2, GATES), 1 / (ORDERS + 1), np.float32)
     weights[-1] = 0
@@ -187,22 +248,49 @@ class Learner:
         self.weights, self.sums = neutral(), np.full((ORDERS + 2, GATES), 1e-4, np.float32)
         self.ones, self.zeros = np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
 
-    def add(self, sequences: list[np.ndarray], times: list[int] | None = None) -> None:
+    def add(self, sequences: Sequences | list[np.ndarray], times: list[int] | None = None) -> None:
         """Learns from the sequences one after the other; times: how often each is in the counts."""
-        for length, alone, places, bit, gates, often in chunks(self.code, sequences, times):
-            many = None if often is None else np.repeat(often, length)
-            again = None if many is None else np.flatnonzero(many > 1)
-            side = bit.astype(np.int64) << 16
-            inputs = [alone, *(without_own(table.take(p), side, bit, many, again) for table, p in zip(self.tables, places))]
-            for at in range(0, len(bit), CHUNK):
-                part = slice(at, at + CHUNK)
-                x, g, b = [i[part] for i in inputs], gates[part], bit[part]
-                logit = mixed(self.weights, g, x)
-                learn(self.weights, self.sums, g, x, b - squash(logit), RATE)
-                where = g * CELLS + cell(logit)
-                both = np.bincount(where + (side[part] >> 16) * (GATES * CELLS), minlength=2 * GATES * CELLS)
-                self.zeros += both[: GATES * CELLS]
-                self.ones += both[GATES * CELLS :]
+        for before, symbols, wanted, often in chunks(self.code, sequences, times):
+            order, many, each = self.code.levels(before, symbols, wanted, self.tables)
+            often = None if often is None else often[order]
+            turns = max(1, round(int(many.sum()) / CHUNK))  # each learns from every turns-th bit of every level
+            room = many // turns + 1
+            ends = np.cumsum(room * turns)
+            x = np.empty((ORDERS + 2, int(ends[-1])), np.float32)  # inputs, then the bits themselves; by level, by turn
+            for end, width, (alone, inputs, bit) in zip(ends.tolist(), room.tolist(), each):
+                n, side = len(bit), bit.astype(np.int64) << 16
+                repeated = None if often is None else np.flatnonzero(often[:n] > 1)
+                found = [without_own(x_in, side, bit, None if often is None else often[:n], repeated) for x_in in inputs]
+                even = n - n % turns
+                for row, values in zip(x[:, end - width * turns : end], (alone, *found, bit)):
+                    by_turn = row.reshape(turns, width).T
+                    by_turn[:-1] = values[:even].reshape(-1, turns)
+                    by_turn[-1, : n - even] = values[even:]
+            begins = ends - room * turns
+            for turn in range(turns):
+                sizes = room - (turn >= many % turns)
+                self._learn(np.concatenate([x[:, a : a + n] for a, n in zip((begins + turn * room).tolist(), sizes.tolist())], axis=1), sizes[sizes > 0])
+
+    def _learn(self, x: np.ndarray, sizes: np.ndarray) -> None:
+        """One step of every weight, by the mean of what its input tells of its gate's bits, divided by the length of its gradients so far. sizes: bits of each level."""
+        if len(sizes) > GATES:
+            sizes = np.append(sizes[: GATES - 1], sizes[GATES - 1 :].sum())
+        inputs, bit, n = x[:-1], x[-1], len(sizes)
+        weights, sums = self.weights[:, :n], self.sums[:, :n]
+        w = np.repeat(weights, sizes, axis=1)
+        w[:-1] *= inputs
+        logit = w.sum(axis=0)
+        np.clip(logit, -LIMIT, LIMIT, out=logit)
+        off = bit - squash(logit)
+        starts = np.cumsum(sizes) - sizes
+        slope = np.concatenate([np.add.reduceat(inputs * off, starts, axis=1), np.add.reduceat(off, starts)[None]]) / np.maximum(sizes, 16).astype(np.float32)
+        sums += slope * slope
+        weights += RATE * slope / np.sqrt(sums)
+        where = np.repeat(np.arange(n) * CELLS, sizes) + cell(logit)
+        where += bit.astype(np.int64) * (GATES * CELLS)
+        both = np.bincount(where, minlength=2 * GATES * CELLS)
+        self.zeros += both[: GATES * CELLS]
+        self.ones += both[GATES * CELLS :]
 
     def parts(self) -> pa.RecordBatch:
         """(part, x): what means and sums over tasks are made of; weights count by their gate's bits."""
@@ -225,13 +313,6 @@ def unrefined() -> np.ndarray:
     return np.tile(squash(np.arange(CELLS) + 0.5 - LIMIT), (GATES, 1)).astype(np.float32)
 
 
-def mixed(weights: np.ndarray, slots: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    out = weights[-1].take(slots)
-    for k, x in enumerate(inputs):
-        out += weights[k].take(slots) * x
-    return np.clip(out, -LIMIT, LIMIT, out=out)
-
-
 def less(logits: np.ndarray, levels: np.ndarray, bit: np.ndarray, times: np.ndarray | int) -> np.ndarray:
     """Logits after `times` such bits are taken out of the counts."""
     n = np.exp2(levels / np.float32(8)) - 1
@@ -252,51 +333,59 @@ def without_own(found: np.ndarray, side: np.ndarray, bit: np.ndarray, times: np.
     return out
 
 
-def scored(code: Code, tables: list[np.ndarray], fit: Weights, texts: list[np.ndarray]) -> np.ndarray:
+def scored(code: Code, tables: list[np.ndarray], fit: Weights, texts: Sequences | list[np.ndarray]) -> np.ndarray:
     """log10 probability of each sequence of symbols. tables: logits in 16ths of each order."""
-    n, cells = len(texts), fit.cells.ravel()
-    total = np.zeros(n)
-    own = np.zeros((ORDERS + 2, n), np.float32)  # what each text has learned, added to the weights of all gates
+    texts = joined(texts)
+    whole, lengths = texts.padded(code.start())[0], texts.lengths
+    begin, longest = np.cumsum(lengths + 5) - lengths - 5, int(lengths.max(initial=0))
+    total = np.zeros(len(lengths))
+    own = np.zeros((ORDERS + 2, len(lengths)), np.float32)  # what each text has learned, added to the weights of all gates
     sums = np.full_like(own, 1e-4)
-    lengths = np.array([len(t) for t in texts])
-    for at in range(0, int(lengths.max(initial=0)), STEP):
+    sixteenths = np.array([1, *[1 / 16] * ORDERS, 1], np.float32)[:, None]  # weights and slopes are for logits as the tables hold them
+    shared = fit.weights * sixteenths
+    for at in range(0, longest, STEP):
         there = np.flatnonzero(lengths > at)
-        parts = [texts[i][max(at - 5, 0) : at + STEP] for i in there]
-        if not at:
-            parts = [np.concatenate([code.start(), p]) for p in parts]
-        sizes = np.array([len(p) for p in parts])
+        sizes = np.minimum(lengths[there] - at, STEP) + 5
         heads = np.cumsum(sizes) - sizes
-        wanted = np.ones(int(sizes.sum()), bool)
+        symbols = whole.take(np.repeat(begin[there] + at - heads, sizes) + np.arange(int(sizes.sum())))
+        wanted = np.ones(len(symbols), bool)
         for k in range(5):  # these five only are the context of the first
             wanted[heads + k] = False
-        length, alone, places, bit, gates = code.bits(code.start(), np.concatenate(parts), wanted)
-        many = np.add.reduceat(length, heads - 5 * np.arange(len(heads)))  # bits of each text
-        starts = np.cumsum(many) - many
-        slots = np.repeat(np.arange(len(there)) * GATES, many) + gates
-        inputs = [alone, *(table.take(p) * np.float32(1 / 16) for table, p in zip(tables, places))]
-        logit = mixed((fit.weights[:, None, :] + own[:, there, None]).reshape(ORDERS + 2, -1), slots, inputs)
-        chance = squash(logit)
-        final = (chance + cells.take(gates * CELLS + cell(logit))) / 2
-        total[there] += np.add.reduceat(np.log(np.abs(1 - bit - final)), starts, dtype=np.float64)
-        off = bit - chance
-        for k, x in enumerate([*inputs, None]):
-            slope = np.add.reduceat(off if x is None else off * x, starts) / many
-            sums[k, there] += slope * slope
-            own[k, there] += OWN_RATE * slope / np.sqrt(sums[k, there])
+        order, many, each = code.levels(code.start(), symbols, wanted, tables)
+        mine = (own[:, there] * sixteenths).take(np.repeat(np.arange(len(there)), sizes - 5)[order], axis=1) if at else None
+        goes_on = longest > at + STEP  # else nothing is scored with what would be learned
+        tells, slopes = np.zeros(len(order), np.float32), np.zeros((ORDERS + 2, len(order) if goes_on else 0), np.float32)
+        for depth, (alone, found, bit) in enumerate(each):
+            gate, m = min(depth, GATES - 1), len(bit)
+            inputs = [alone, *(x.astype(np.float32) for x in found)]
+            weights = shared[:, gate] if mine is None else (row[:m] + w for row, w in zip(mine, shared[:, gate]))
+            logit = np.zeros(m, np.float32)
+            for w, x in zip(weights, (*inputs, np.float32(1))):
+                logit += w * x
+            np.clip(logit, -LIMIT, LIMIT, out=logit)
+            chance = squash(logit)
+            final = fit.cells[gate].take(cell(logit))
+            final += chance
+            final *= np.float32(0.5)
+            final -= 1 - bit
+            tells[:m] += np.log(np.abs(final, out=final), out=final)
+            if goes_on:
+                off = bit - chance
+                for row, x in zip(slopes, (*inputs, np.float32(1))):
+                    row[:m] += off * x
+        starts, back = heads - 5 * np.arange(len(heads)), np.empty_like(order)
+        back[order] = np.arange(len(order))
+        total[there] += np.add.reduceat(tells[back], starts, dtype=np.float64)
+        if goes_on:
+            slope = sixteenths * np.add.reduceat(slopes.take(back, axis=1), starts, axis=1) / np.add.reduceat(code.length[symbols[wanted]], starts)
+            sums[:, there] += slope * slope
+            own[:, there] += OWN_RATE * slope / np.sqrt(sums[:, there])
     return total / math.log(10)
 
 
 # Spark
 
 
-class Numbered(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def packed(places: np.ndarray) -> bytes:
     """Numbers below 2^24, their low halves before their (mostly zero) high bytes."""
     return places.astype("<u2").tobytes() + (places >> 16).astype(np.uint8).tobytes()
@@ -315,32 +404,32 @@ def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("language_model", dict)  # other operators' tables may go
         block = TaskContext.get().partitionId() << 32
-        words = Numbered()
-        ids, apart, sizes, places = [], [], [], []
-        size = 0
+        ids, apart, parts, size = [], [], [], 0
 
         def out(id_type: pa.DataType) -> pa.RecordBatch:
-            times = np.zeros(len(words), np.int64)
-            for place, held_apart in zip(places, apart):
-                if not held_apart:
-                    times += np.bincount(place, minlength=len(words)) if len(place) * 8 > len(words) else 0
-                    if len(place) * 8 <= len(words):
-                        np.add.at(times, place, 1)
-            columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([apart], pa.list_(pa.bool_())), pa.array([[len(p) for p in places]], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int64()))]
-            columns += [pa.array([packed(np.concatenate(places))], pa.binary()), pa.array([list(words)], pa.list_(pa.binary())), pa.array([times], pa.list_(pa.int64()))]
+            data, length, lengths = (np.concatenate(x) for x in zip(*parts))
+            offsets = np.append(0, np.cumsum(length))
+            found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            flat, words = found.indices.to_numpy(), found.dictionary.cast(pa.binary())
+            times = np.bincount(flat[np.repeat(~np.array(apart), lengths)], minlength=len(words))
+            sizes = np.add.reduceat(length + 1, np.cumsum(lengths) - lengths)
+            columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([apart], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int64()))]
+            columns += [pa.array([packed(flat)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([times], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "apart", "lengths", "sizes", "places", "words", "times"])
 
         for batch in batches:
-            for key, value, held_apart in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                own_words = tokens(value.as_py())
-                places.append(np.fromiter(map(words.__getitem__, own_words), np.uint32, len(own_words)))
-                ids.append(key)
-                apart.append(held_apart)
-                sizes.append(len(b" ".join(own_words)) + 1)
-                size += len(own_words)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = 0
+            while at < len(ends):  # about SPLIT bytes, one text at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT, "right")))
+                parts.append(tokens(batch.column(1)[at:to].to_pylist()))
+                ids += batch.column(0)[at:to].to_pylist()
+                apart += batch.column(2)[at:to].to_pylist()
+                size += max(len(parts[-1][1]), len(parts[-1][0]) // 32)  # long words fill a block sooner
+                at = to
                 if size >= BLOCK:
                     yield out(batch.schema.types[0])
-                    block, words, ids, apart, sizes, places, size = block + 1, Numbered(), [], [], [], [], 0
+                    block, ids, apart, parts, size = block + 1, [], [], [], 0
         if ids:
             yield out(batch.schema.types[0])
 
@@ -371,7 +460,16 @@ class Pair:
         return word not in self.symbol
 
     def spelled(self, word: bytes) -> np.ndarray:
-        return np.concatenate([np.frombuffer(word, np.uint8).astype(U), np.array([256], U)])
+        return self.spellings([word]).flat
+
+    def spellings(self, words: list[bytes]) -> Sequences:
+        """Of each word its bytes and the stop."""
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        flat = np.full(int(lengths.sum()), 256, U)
+        letters = np.ones(len(flat), bool)
+        letters[np.cumsum(lengths) - 1] = False
+        flat[letters] = np.frombuffer(b"".join(words), np.uint8)
+        return Sequences(flat, lengths)
 
 
 def codes_of(counts: DataFrame, words: int) -> Codes:
@@ -398,28 +496,21 @@ def codes_of(counts: DataFrame, words: int) -> Codes:
     return Codes(uuid.uuid4().hex, [w for w, _ in top], np.array([*(c for _, c in top), rest[256], rest[257]], np.int64), rest[:257])
 
 
-def split(symbols: np.ndarray, row: dict) -> list[np.ndarray]:
-    return np.split(symbols, np.cumsum(row["lengths"].values.to_numpy())[:-1])
-
-
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(batch.num_rows):
         yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
 
 
-def chunks(code: Code, sequences: list[np.ndarray], times: list[int] | None = None) -> Iterator[tuple]:
-    """Code.bits() of the sequences, CHUNK symbols at once, and how often each symbol's sequence occurs."""
-    if not sequences:
-        return
-    start = code.start()
-    s = np.concatenate([x for sequence in sequences for x in (start, sequence)])
-    wanted, sizes = np.ones(len(s), bool), np.array([len(x) + 5 for x in sequences])
-    for k in range(5):
-        wanted[np.cumsum(sizes) - sizes + k] = False
-    often = None if times is None else np.repeat(np.array(times, U), sizes)
-    for at in range(0, len(s), CHUNK):
-        here = wanted[at : at + CHUNK]
-        yield *code.bits(s[at - 5 : at] if at else start, s[at : at + CHUNK], here), None if often is None else often[at : at + CHUNK][here]
+def chunks(code: Code, sequences: Sequences | list[np.ndarray], times: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """What Code.levels() takes of the sequences, SYMBOLS at once, and how often each wanted symbol's sequence occurs."""
+    sequences, start, done = joined(sequences), code.start(), 0
+    s, wanted = sequences.padded(start)
+    often = None if times is None else np.repeat(np.array(times, U), sequences.lengths)
+    for at in range(0, len(s), SYMBOLS):
+        here = wanted[at : at + SYMBOLS]
+        if n := int(here.sum()):
+            yield s[at - 5 : at] if at else start, s[at : at + SYMBOLS], here, None if often is None else often[done : done + n]
+        done += n
 
 
 class Tables:
@@ -428,12 +519,21 @@ class Tables:
     def __init__(self, code: Code):
         self.code, self.counts = code, np.zeros((ORDERS, 2 << BITS), U)
 
-    def add(self, sequences: list[np.ndarray], times: list[int] | None = None) -> None:
-        for length, _, places, bit, _, often in chunks(self.code, sequences, times):
-            many = np.ones(len(bit), U) if often is None else np.repeat(often, length)
-            side = bit.astype(np.int64)
-            for table, p in zip(self.counts, places):
-                np.add.at(table, 2 * p + side, many)
+    def add(self, sequences: Sequences | list[np.ndarray], times: list[int] | None = None) -> None:
+        for before, symbols, wanted, often in chunks(self.code, sequences, times):
+            order, rank, many, groups = self.code.places(before, symbols, wanted)
+            often = None if often is None else often[order]
+            for depth, places in zip(range(0, len(many), NEAR), groups):
+                here = many[depth : depth + NEAR].tolist()
+                side = np.zeros((here[0], NEAR), np.int64)
+                for k, n in enumerate(here):
+                    side[:n, k] = self.code.steps[depth + k][0].take(rank[:n])
+                for table, p in zip(self.counts, places):
+                    p += p
+                    p += side
+                    for k, (n, more) in enumerate(zip(here, [*here[1:], 0]), 1):  # the symbols that have k of these levels
+                        if n > more:
+                            np.add.at(table, p[more:n, :k].ravel(), U(1) if often is None else np.repeat(often[more:n], k))
 
     def slices(self) -> Iterator[pa.RecordBatch]:
         """Those that hold anything, in as few bytes a count as they need, compressed: most counts are small."""
@@ -448,19 +548,20 @@ def held_pair(shared) -> Pair:
     return held(("language_model", shared.value.key), lambda: Pair(shared.value))
 
 
-def training_texts(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], None]]:
+def training_texts(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Sequences, None]]:
     """Of each block the texts that aren't held out."""
     for batch in batches:
         for row in rows_of(batch):
-            texts, apart = split(pair.places(row["words"].as_py())[unpacked(row["places"].as_py())], row), row["apart"].as_py()
-            yield [t for t, held_apart in zip(texts, apart) if not held_apart], None
+            lengths, training = row["lengths"].values.to_numpy().astype(np.int64), ~np.array(row["apart"].as_py(), bool)
+            own = unpacked(row["places"].as_py())[np.repeat(training, lengths)]
+            yield Sequences(pair.places(row["words"].as_py())[own], lengths[training]), None
 
 
-def spelled_words(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+def spelled_words(pair: Pair, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Sequences, list[int]]]:
     """Of each batch the distinct words that are spelled, and how often they occur in training texts."""
     for batch in batches:
         rows = [(w, c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if pair.is_other(w)]
-        yield [pair.spelled(w) for w, _ in rows], [c for _, c in rows]
+        yield pair.spellings([w for w, _ in rows]), [c for _, c in rows]
 
 
 def word_bits(rows: DataFrame, shared) -> DataFrame:
@@ -543,9 +644,9 @@ def with_costs(counts: DataFrame, shared, tables: list[tuple[np.ndarray, np.ndar
             words = batch.column(0).to_pylist()
             others = sorted((k for k, w in enumerate(words) if pair.is_other(w)), key=lambda k: len(words[k]))
             tells = pair.places(words).astype(np.float32)
-            for at in range(0, len(others), 1024):
-                some_words = others[at : at + 1024]
-                tells[some_words] = scored(pair.bytes, model.value, weights, [pair.spelled(words[k]) for k in some_words])
+            for at in range(0, len(others), 4096):
+                some_words = others[at : at + 4096]
+                tells[some_words] = scored(pair.bytes, model.value, weights, pair.spellings([words[k] for k in some_words]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tells)], names=["word", "c", "tells"])
 
     return counts.select("word", "c").mapInArrow(run, "word binary, c long, tells float")
@@ -577,16 +678,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
                 flat, places = row["known"].values, unpacked(row["places"].as_py())
                 order = np.argsort(flat.field("place").to_numpy())
                 c, tells = (flat.field(x).to_numpy()[order] for x in ("c", "tells"))
-                texts = split(np.where(tells < 0, pair.other, tells).astype(U)[places], row)
-                lengths = np.array([len(t) for t in texts])
-                starts = np.cumsum(lengths) - lengths
+                symbols, lengths = np.where(tells < 0, pair.other, tells).astype(U)[places], row["lengths"].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
                 sums = lambda x: np.add.reduceat(x[places], starts)
                 total, order = sums(np.minimum(tells, 0).astype(float)), np.argsort(lengths, kind="stable")  # texts of like length go together
                 for k in range(0, len(order), TEXTS):
                     part = order[k : k + TEXTS]
-                    total[part] += scored(pair.words, model.value, word_weights, [texts[i] for i in part])
+                    total[part] += scored(pair.words, model.value, word_weights, [symbols[starts[i] : ends[i]] for i in part])
                 n_bytes = row["sizes"].values.to_numpy()
-                columns = [row["ids"].values, row["apart"].values, pa.array(lengths), pa.array(sums((c > 0).astype(np.int64))), pa.array([n] * len(texts), pa.int64()), pa.array(sums(np.log10(c + 0.1) - floor)), pa.array(total), pa.array(-total * math.log2(10) / n_bytes)]
+                columns = [row["ids"].values, row["apart"].values, pa.array(lengths), pa.array(sums((c > 0).astype(np.int64))), pa.array([n] * len(lengths), pa.int64()), pa.array(sums(np.log10(c + 0.1) - floor)), pa.array(total), pa.array(-total * math.log2(10) / n_bytes)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     return whole.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

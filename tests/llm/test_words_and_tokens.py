@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -300,3 +301,38 @@ def test_one_look_up_takes_own_bits_out():
         got = language_model.without_own(table, side, bit, many, None if many is None else np.flatnonzero(many > 1))
         want = language_model.less(logits.astype(np.float32), levels.astype(np.float32), bit, 1 if many is None else many)
         assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
+def test_near_nodes_share_eight_places():
+    code = small_codes()[0]
+    symbol = np.array([int(code.length.argmax())], np.uint32)
+    _, _, places, bit, _ = code.bits(code.start(), symbol)
+    near = language_model.NEAR
+    assert len(bit) == code.length[symbol[0]] > near
+    for p in places:
+        assert len({int(x) >> 3 for x in p[:near]}) == 1 and len({int(x) for x in p[:near]}) == near
+        assert p[near] >> 3 != p[0] >> 3
+
+
+def test_learning_sees_every_bit_once(monkeypatch):
+    monkeypatch.setattr(language_model, "SYMBOLS", 50)
+    monkeypatch.setattr(language_model, "CHUNK", 40)  # several turns for each lot of symbols
+    code, rng = small_codes()[0], np.random.default_rng(9)
+    learner = language_model.Learner(code, [(rng.integers(-60, 60, 1 << language_model.BITS).astype(np.int8), np.full(1 << language_model.BITS, 40, np.uint8)) for _ in range(3)])
+    sequences = [np.append(rng.integers(0, 6, n), code.end).astype(np.uint32) for n in (0, 1, 49, 130)]
+    learner.add(sequences, [1, 2, 1, 3])
+    gates = [code.bits(code.start(), np.array([k], np.uint32))[4] for k in range(7)]
+    bits = [code.bits(code.start(), np.array([k], np.uint32))[3] for k in range(7)]
+    flat = np.concatenate(sequences)
+    want = np.bincount(np.concatenate([gates[k] for k in flat]), minlength=language_model.GATES)
+    assert np.array_equal((learner.ones + learner.zeros).reshape(language_model.GATES, -1).sum(axis=1), want)
+    assert learner.ones.sum() == sum(bits[k].sum() for k in flat)
+
+
+def test_words_of_many_texts_at_once():
+    texts = ["Two  words\x0b", None, "", " \t", "\x00AÄ b\x1cc ", "x"]
+    data, lengths, many = language_model.tokens(texts)
+    ends = np.cumsum(lengths)
+    got = [data.tobytes()[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
+    want = [[*(re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode())), b""] for t in texts]
+    assert got == [w for ws in want for w in ws] and many.tolist() == [len(ws) for ws in want]

@@ -8,7 +8,8 @@ code over a model's symbols turns its sequences into bits, each a step down the
 code's tree. For every bit there are ORDERS + 1 predictors:
   the node of the tree alone (its symbols' counts in all training texts),
   the node with the hash of one, two or three symbols before (the second model:
-  two, three or five), in tables of 2^BITS places of bit counts.
+  two, three or five), in tables of 2^BITS places of bit counts; for a context the
+  nodes of NEAR levels lie side by side.
 A predictor gives ln((n1 + A) / (n0 + A)) of its place. The inputs are added up
 with weights chosen by a gate (how deep in the tree the bit is) and squashed to a
 probability; the middle between it and what bits of its gate and its size came to
